@@ -91,7 +91,8 @@ def isolation_hit(threshold: float = -0.5) -> Column:
 def flow_detections(scored: DataFrame, *hits: Column) -> DataFrame:
     """Detections of all flow layers from one pass over the scored flows."""
     return _finish(
-        scored.select(*FLOW_COLUMNS, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        scored.select(*FLOW_COLUMNS, F.explode(F.array(*hits)).alias("hit"))
+        .filter(F.col("hit").isNotNull())
         .select(*FLOW_COLUMNS, "hit.*")
     )
 

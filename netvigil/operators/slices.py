@@ -55,13 +55,11 @@ def with_time_slices(df: DataFrame, ts: str, slice_seconds: int, overlap_seconds
     micros = epoch_micros(F.col(ts))
     own = F.floor(micros / F.lit(width)).cast("long")
     near_end = F.pmod(micros, F.lit(width)) >= width - overlap
-    homes = F.array_compact(
-        F.array(
-            F.struct(own.alias("time_slice"), F.lit(False).alias("is_copy")),
-            F.when(near_end, F.struct((own + 1).alias("time_slice"), F.lit(True).alias("is_copy"))),
-        )
+    homes = F.array(
+        F.struct(own.alias("time_slice"), F.lit(False).alias("is_copy")),
+        F.when(near_end, F.struct((own + 1).alias("time_slice"), F.lit(True).alias("is_copy"))),
     )
-    return df.select("*", F.inline(homes))
+    return df.select("*", F.inline(homes)).filter(F.col("time_slice").isNotNull())
 
 
 def running_sums(

@@ -1,6 +1,6 @@
 """Registered queries with their SQL oracles."""
 
-from netvigil.plans import detection  # noqa: F401
+from netvigil.plans import cleaning, detection, sources  # noqa: F401
 from netvigil.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

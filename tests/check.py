@@ -18,7 +18,7 @@ def main() -> None:
     prefixes = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = harness.connect(sf_dir)
     bad = 0
