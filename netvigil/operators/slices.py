@@ -82,3 +82,24 @@ def running_sums(
     return joined.select(
         *[c for c in df.columns], *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums]
     )
+
+
+def with_previous(
+    df: DataFrame, keys: list[str], order: list[str], column: str, slice_seconds: int = 3600, name: str = "previous"
+) -> DataFrame:
+    """The column's value on the previous row of the same key (first of ``order`` is a timestamp).
+
+    Lag runs inside (key, time slice); the first row of a slice takes the last
+    value of the key's nearest earlier slice from a small per-slice table.
+    """
+    sliced = df.withColumn("_slice", F.floor(epoch_micros(F.col(order[0])) / F.lit(slice_seconds * 1_000_000)))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = sliced.withColumn("_lag", F.lag(column).over(inside)).withColumn(
+        "_first", F.row_number().over(inside) == 1
+    )
+    tails = sliced.groupBy(*keys, "_slice").agg(F.max_by(column, F.struct(*order)).alias("_last"))
+    carry = tails.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
+    joined = rows.join(carry.select(*keys, "_slice", "_carry"), [*keys, "_slice"])
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
+        "_slice", "_lag", "_first", "_carry"
+    )

@@ -99,7 +99,7 @@ def p09(spark, d):
                       F.round("tot_fwd_pkts", 4).alias("tot_fwd_pkts"), "down_up_ratio")
 
 
-@query("p10_drop_empty_rows", dsql("select flow_duration, idle_std from dirty where flow_duration is not null or idle_std is not null"))
+@query("p10_drop_empty_rows", dsql("select flow_duration, idle_std from dirty where (flow_duration is not null and not isnan(flow_duration)) or idle_std is not null"))
 def p10(spark, d):
     return dirty_flows(spark, d).select("flow_duration", "idle_std").dropna(how="all")
 
