@@ -1,0 +1,254 @@
+"""Variational autoencoder trained by parameter averaging over partitions.
+
+Each epoch, every partition runs Adam over its own mini-batches from the same
+starting weights; the resulting weights are averaged by row count (tree
+reduction) and become the next epoch's start. A task's result depends only on
+(weights, epoch, partition), so a lost task can simply run again.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from netvigil.functions.scores import combined_error
+from netvigil.models.reconstruction import calibrate
+from netvigil.session import materialize
+
+Weights = dict[str, np.ndarray]
+MOMENTUM, EPSILON = 0.9, 1e-3
+
+
+@dataclass(frozen=True)
+class VaeParams:
+    latent: int = 32
+    hidden: tuple[int, ...] = (128, 64, 32)
+    beta: float = 0.5
+    dropout: float = 0.2
+    epochs: int = 50
+    batch: int = 256
+    rate: float = 1e-3
+    min_rate: float = 1e-6
+    patience: int = 10
+    halve_after: int = 5
+    threshold_percent: float = 80.0
+    partitions: int = 8
+    seed: int = 42
+
+
+def _plan(p: VaeParams, dim: int) -> dict[str, list[tuple]]:
+    """Layer lists; batch normalization and dropout sit as in the documented network."""
+    a, b, c = p.hidden
+    return {
+        "enc": [("dense", dim, a), ("relu",), ("norm", a), ("drop",), ("dense", a, b), ("relu",), ("norm", b),
+                ("dense", b, c), ("relu",)],
+        "mean": [("dense", c, p.latent)],
+        "logv": [("dense", c, p.latent)],
+        "dec": [("dense", p.latent, c), ("relu",), ("norm", c), ("dense", c, b), ("relu",), ("norm", b), ("drop",),
+                ("dense", b, a), ("relu",), ("dense", a, dim)],
+    }
+
+
+def _init(plan: dict[str, list[tuple]], seed: int) -> Weights:
+    rng, w = np.random.default_rng(seed), {}
+    for part, layers in plan.items():
+        for i, layer in enumerate(layers):
+            if layer[0] == "dense":
+                limit = np.sqrt(6.0 / (layer[1] + layer[2]))
+                w[f"{part}{i}.w"] = rng.uniform(-limit, limit, (layer[1], layer[2]))
+                w[f"{part}{i}.b"] = np.zeros(layer[2])
+            elif layer[0] == "norm":
+                for name, value in (("g", 1.0), ("b", 0.0), ("m", 0.0), ("v", 1.0)):
+                    w[f"{part}{i}.{name}"] = np.full(layer[1], value)
+    return w
+
+
+def _forward(layers: list[tuple], part: str, w: Weights, x: np.ndarray, rng=None, drop: float = 0.0):
+    """Output and the tape for the backward pass; without ``rng`` it is inference."""
+    tape = []
+    for i, layer in enumerate(layers):
+        k = f"{part}{i}"
+        if layer[0] == "dense":
+            tape.append(x)
+            x = x @ w[k + ".w"] + w[k + ".b"]
+        elif layer[0] == "relu":
+            tape.append(x > 0)
+            x = np.maximum(x, 0.0)
+        elif layer[0] == "norm":
+            train = rng is not None and len(x) > 1
+            m, v = (x.mean(0), x.var(0)) if train else (w[k + ".m"], w[k + ".v"])
+            if train:
+                w[k + ".m"] = MOMENTUM * w[k + ".m"] + (1 - MOMENTUM) * m
+                w[k + ".v"] = MOMENTUM * w[k + ".v"] + (1 - MOMENTUM) * v
+            scale = 1.0 / np.sqrt(v + EPSILON)
+            unit = (x - m) * scale
+            tape.append((unit, scale))
+            x = unit * w[k + ".g"] + w[k + ".b"]
+        else:
+            mask = (rng.random(x.shape) >= drop) / (1.0 - drop) if rng is not None else None
+            tape.append(mask)
+            x = x if mask is None else x * mask
+    return x, tape
+
+
+def _backward(layers: list[tuple], part: str, w: Weights, tape: list, g: np.ndarray, grads: Weights) -> np.ndarray:
+    for i in range(len(layers) - 1, -1, -1):
+        k, saved = f"{part}{i}", tape[i]
+        if layers[i][0] == "dense":
+            grads[k + ".w"], grads[k + ".b"] = saved.T @ g, g.sum(0)
+            g = g @ w[k + ".w"].T
+        elif layers[i][0] == "relu":
+            g = g * saved
+        elif layers[i][0] == "norm":
+            unit, scale = saved
+            grads[k + ".g"], grads[k + ".b"] = (g * unit).sum(0), g.sum(0)
+            g = g * w[k + ".g"]
+            g = scale * (g - g.mean(0) - unit * (g * unit).mean(0))
+        else:
+            g = g * saved
+    return g
+
+
+def _loss_and_grads(plan, w: Weights, x: np.ndarray, p: VaeParams, rng) -> tuple[float, Weights]:
+    grads: Weights = {}
+    n = len(x)
+    h, t_enc = _forward(plan["enc"], "enc", w, x, rng, p.dropout)
+    mean, t_mean = _forward(plan["mean"], "mean", w, h)
+    logv, t_logv = _forward(plan["logv"], "logv", w, h)
+    noise = rng.standard_normal(mean.shape)
+    spread = np.exp(0.5 * logv)
+    out, t_dec = _forward(plan["dec"], "dec", w, mean + spread * noise, rng, p.dropout)
+    gap = out - x
+    kl = -0.5 * (1 + logv - mean**2 - np.exp(logv)).sum()
+    loss = ((gap**2).sum() + p.beta * kl) / n
+    g_z = _backward(plan["dec"], "dec", w, t_dec, 2.0 * gap / n, grads)
+    g_mean = g_z + p.beta * mean / n
+    g_logv = g_z * noise * 0.5 * spread + p.beta * 0.5 * (np.exp(logv) - 1.0) / n
+    g_h = _backward(plan["mean"], "mean", w, t_mean, g_mean, grads) + _backward(
+        plan["logv"], "logv", w, t_logv, g_logv, grads)
+    _backward(plan["enc"], "enc", w, t_enc, g_h, grads)
+    return float(loss), grads
+
+
+def _local_epoch(plan, w: Weights, x: np.ndarray, p: VaeParams, rate: float, rng) -> tuple[Weights, float]:
+    """Adam over shuffled mini-batches of one chunk of rows; returns the loss sum over rows."""
+    w = {k: v.copy() for k, v in w.items()}
+    first = {k: np.zeros_like(v) for k, v in w.items()}
+    second = {k: np.zeros_like(v) for k, v in w.items()}
+    total, step = 0.0, 0
+    order = rng.permutation(len(x))
+    for at in range(0, len(x), p.batch):
+        rows = x[order[at:at + p.batch]]
+        loss, grads = _loss_and_grads(plan, w, rows, p, rng)
+        total, step = total + loss * len(rows), step + 1
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
+    return w, total
+
+
+@dataclass
+class Vae:
+    params: VaeParams
+    dim: int
+    weights: Weights
+    threshold: float | None = None
+    history: list[float] = field(default_factory=list)
+
+    def _udf(self, returns: str):
+        plan, w = _plan(self.params, self.dim), self.weights
+
+        @F.arrow_udf(returns)
+        def run(v: pa.Array) -> pa.Array:
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+            h, _ = _forward(plan["enc"], "enc", w, x)
+            mean, _ = _forward(plan["mean"], "mean", w, h)
+            logv, _ = _forward(plan["logv"], "logv", w, h)
+            out, _ = _forward(plan["dec"], "dec", w, mean)  # the latent mean, so scores repeat
+            mse = ((out - x) ** 2).mean(axis=1)
+            kl = -0.5 * (1 + logv - mean**2 - np.exp(logv)).sum(axis=1)
+            return pa.StructArray.from_arrays([pa.array(mse), pa.array(kl)], ["mse", "kl"])
+
+        return run
+
+    def errors(self, vector: Column) -> Column:
+        """Struct (mse, kl) of a vector column."""
+        return self._udf("mse double, kl double")(vector)
+
+    def transform(self, df: DataFrame, vector: str = "window", use_combined: bool = False) -> DataFrame:
+        """Adds ``score``: reconstruction error, optionally with the weighted divergence."""
+        scored = df.withColumn("_e", self.errors(F.col(vector)))
+        mse, kl = F.col("_e.mse"), F.col("_e.kl")
+        score = combined_error(mse, kl, self.params.beta, self.dim) if use_combined else mse
+        return scored.withColumn("score", score).drop("_e")
+
+    def save(self, df_spark, path: str) -> None:
+        """One JSON row: weights, sizes and threshold."""
+        row = json.dumps({
+            "params": self.params.__dict__, "dim": self.dim, "threshold": self.threshold,
+            "weights": {k: v.tolist() for k, v in self.weights.items()}})
+        df_spark.createDataFrame([(row,)], "value string").write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark, path: str) -> Vae:
+        data = json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+        params = VaeParams(**{**data["params"], "hidden": tuple(data["params"]["hidden"])})
+        return Vae(params, data["dim"], {k: np.array(v) for k, v in data["weights"].items()}, data["threshold"])
+
+
+def fit_vae(df: DataFrame, vector: str = "window", params: VaeParams = VaeParams()) -> Vae:
+    """Train on benign windows (a bounded sample) and calibrate the error threshold."""
+    rows = materialize(df.select(vector).repartition(params.partitions))
+    dim = len(rows.first()[vector])
+    plan = _plan(params, dim)
+    weights = _init(plan, params.seed)
+    sc = rows.sparkSession.sparkContext
+    best, best_weights, stale, rate, history = float("inf"), weights, 0, params.rate, []
+    for epoch in range(params.epochs):
+        shared = sc.broadcast(weights)
+
+        def local(index: int, batches: Iterator, epoch=epoch, rate=rate, shared=shared):
+            rng = np.random.default_rng([params.seed, epoch, index])
+            w, total, n = shared.value, 0.0, 0
+            # Rows arrive in chunks, so a partition is never held whole.
+            for chunk in _chunks(batches, 64 * params.batch):
+                w, loss = _local_epoch(plan, w, chunk, params, rate, rng)
+                total, n = total + loss, n + len(chunk)
+            if n:
+                yield {k: v * n for k, v in w.items()}, total, n
+
+        parts = rows.rdd.map(lambda r: r[0]).mapPartitionsWithIndex(local)
+        summed, total, n = parts.treeReduce(
+            lambda a, b: ({k: a[0][k] + b[0][k] for k in a[0]}, a[1] + b[1], a[2] + b[2]))
+        weights = {k: v / n for k, v in summed.items()}
+        shared.unpersist()
+        history.append(total / n)
+        if history[-1] < best - 1e-12:
+            best, best_weights, stale = history[-1], weights, 0
+        else:
+            stale += 1
+            if stale % params.halve_after == 0:
+                rate = max(rate * 0.5, params.min_rate)
+            if stale >= params.patience:
+                break
+    model = Vae(params, dim, best_weights, None, history)
+    model.threshold = calibrate(model.transform(rows, vector), params.threshold_percent)
+    return model
+
+
+def _chunks(rows: Iterator, size: int) -> Iterator[np.ndarray]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield np.array(held)
+            held = []
+    if held:
+        yield np.array(held)

@@ -137,7 +137,7 @@ def p14(spark, d):
 
 CATEGORY = """case label when 'BENIGN' then 'BENIGN' when 'DDoS' then 'DDoS' when 'DoS Hulk' then 'DoS'
   when 'PortScan' then 'Port Scan' when 'SSH-Patator' then 'Brute Force' when 'Bot' then 'Bot'
-  when 'Web Attack XSS' then 'Web Attack' else 'Unknown' end"""
+  when 'Web Attack XSS' then 'Web Attack' when 'Infiltration' then 'Infiltration' else 'Unknown' end"""
 
 
 @query("p15_label_map", sql(f"select flow_id, label, {CATEGORY} as attack_type from (select flow_id, "
