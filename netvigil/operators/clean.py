@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,12 +47,24 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def repeated_headers(names: list[str]) -> dict[int, str]:
+    """Positions whose known header was repeated in a CSV file: the reader marks every
+    occurrence by appending its position."""
+    stems = {
+        i: n[: -len(str(i))].strip() for i, n in enumerate(names)
+        if n.endswith(str(i)) and canonical_name(n) not in FEATURE_HEADERS
+        and canonical_name(n[: -len(str(i))]) in FEATURE_HEADERS
+    }
+    listed = list(stems.values())
+    return {i: s for i, s in stems.items() if listed.count(s) > 1}
+
+
 def canonical_headers(df: DataFrame) -> DataFrame:
     """Rename to canonical names; two spellings of one feature become one coalesced column."""
-    # Spark marks a repeated CSV header by appending its position; undo that first.
-    plain = [re.sub(r"(?<=\D)\d+$", "", c) if _is_repeat(c, i, df.columns) else c for i, c in enumerate(df.columns)]
+    repeats = repeated_headers(df.columns)
+    plain = [repeats.get(i, c) for i, c in enumerate(df.columns)]
     names = [canonical_name(c) for c in plain]
-    if plain.count("Fwd Header Length") > 1:
+    if repeats:
         names = unique_names(names)
     positional = df.toDF(*[f"_c{i}" for i in range(len(names))])
     groups: dict[str, list[Column]] = {}
@@ -62,11 +73,6 @@ def canonical_headers(df: DataFrame) -> DataFrame:
     return positional.select(*[(F.coalesce(*cs) if len(cs) > 1 else cs[0]).alias(n) for n, cs in groups.items()])
 
 
-def _is_repeat(name: str, position: int, names: list[str]) -> bool:
-    stem = name[: -len(str(position))]
-    return name.endswith(str(position)) and any(n.startswith(stem) and n != name for n in names)
-
-
 def long_headers(df: DataFrame) -> DataFrame:
     """Canonical -> long corpus headers."""
     return df.withColumnsRenamed({s: l for s, l in FEATURE_HEADERS.items() if s in df.columns})

@@ -11,6 +11,7 @@ from netvigil.functions import levels
 from netvigil.functions.text import signature_attack
 from netvigil.schemas import DETECTION_COLUMNS
 from netvigil.session import bounded_broadcast
+from netvigil.sources.whitelist import expand_cidr, network_number
 
 SIGNATURE_CONFIDENCE = 0.95
 # Arrival order of the layers; det_seq is "<ordinal>-<row key>".
@@ -109,6 +110,18 @@ def drop_whitelisted(detections: DataFrame, whitelist: DataFrame) -> DataFrame:
     ).join(listed, detections["dst_ip"] == listed["ip"], "left_anti")
 
 
+def drop_whitelisted_networks(detections: DataFrame, entries: DataFrame) -> DataFrame:
+    """As ``drop_whitelisted`` with CIDR entries: one equi-join per listed prefix length."""
+    networks = expand_cidr(entries)
+    lengths = sorted(r[0] for r in networks.select("prefix_bits").distinct().collect())  # at most 33
+    for bits in lengths:
+        listed = bounded_broadcast(networks.filter(F.col("prefix_bits") == bits).select("network"))
+        for side in ("src_ip", "dst_ip"):
+            detections = detections.join(
+                listed, network_number(F.col(side), bits) == F.col("network"), "left_anti")
+    return detections
+
+
 def dedup(detections: DataFrame, scope: tuple[str, ...] = ("capture_id",)) -> DataFrame:
     """Best detection per (scope, src, dst, attack): highest confidence, first on ties.
 

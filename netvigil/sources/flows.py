@@ -24,11 +24,13 @@ def read_flow_files(
     """
     frames = []
     for path in [paths] if isinstance(paths, str) else paths:
-        raw = (
-            spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+        reader = (
+            spark.read.option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.csv")
             .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-            .option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv").csv(path)
         )
+        strict = reader.option("enforceSchema", False).csv(path)
+        # A repeated header is renamed by the reader and cannot be checked against the files.
+        raw = reader.option("enforceSchema", True).csv(path) if clean.repeated_headers(strict.columns) else strict
         frame = clean.canonical_headers(raw.withColumn(CAPTURE_FILE, F.col("_metadata.file_name")))
         frames.append(frame.select(*[c for c in [*columns, CAPTURE_FILE] if c in frame.columns]) if columns else frame)
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

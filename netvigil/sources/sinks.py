@@ -110,16 +110,15 @@ def deliver(payloads: DataFrame, send) -> None:
 
 
 def latest_artifact(spark: SparkSession, folder: str, prefix: str, suffix: str = "") -> DataFrame:
-    """Newest artifact by name prefix: one marked ``latest`` wins, else the last modified.
-
-    Only file metadata is read, never contents.
+    """Newest artifact (file or folder under ``folder``) by name: one marked
+    ``latest`` wins, else the last modified. Only file metadata is read.
     """
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").load(folder)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .select("path", "modificationTime")
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.agg(
-        F.max_by("path", F.struct(name.contains("latest").alias("l"), F.col("modificationTime"), F.col("path")))
-        .alias("path")
-    )
+    inside = F.substring_index("path", f"{folder.rstrip('/')}/", -1)
+    named = files.select(F.substring_index(inside, "/", 1).alias("name"), "modificationTime").filter(
+        F.col("name").startswith(prefix) & F.col("name").endswith(suffix))
+    return named.agg(
+        F.max_by("name", F.struct(F.col("name").contains("latest").alias("l"), "modificationTime", "name")).alias("name"))

@@ -40,8 +40,8 @@ def ip_number(ip: Column) -> Column:
 def expand_cidr(entries: DataFrame) -> DataFrame:
     """Entries as (prefix_bits, network) pairs; a plain address is a /32.
 
-    Matching is an equi-join per prefix length on the address shifted to its
-    network number (see ``networks_of``), never a range scan per row.
+    Matching is an equi-join per prefix length on ``network_number``, never a
+    range scan per row.
     """
     address = F.substring_index("ip", "/", 1)
     bits = F.when(F.col("ip").contains("/"), F.substring_index("ip", "/", -1).try_cast("int")).otherwise(32)
@@ -53,11 +53,6 @@ def expand_cidr(entries: DataFrame) -> DataFrame:
     )
 
 
-def networks_of(ip: Column, prefix_lengths: list[int]) -> Column:
-    """(prefix_bits, network) pairs an address belongs to, for the listed lengths (at most 33)."""
-    number = ip_number(ip)
-    return F.array(
-        *[F.struct(F.lit(b).alias("prefix_bits"),
-                   F.floor(number / F.lit(float(2 ** (32 - b)))).cast("long").alias("network"))
-          for b in prefix_lengths]
-    )
+def network_number(ip: Column, bits: int) -> Column:
+    """The address shifted to its network of the given prefix length."""
+    return F.floor(ip_number(ip) / F.lit(float(2 ** (32 - bits)))).cast("long")
