@@ -9,6 +9,7 @@ from netvigil.operators import clean, report, sampling
 from netvigil.plans import adapters as a
 from netvigil.plans.oracle import LEVEL_NAME, THR, _host, _server, level_case, sql
 from netvigil.plans.registry import query
+from netvigil.session import spread
 from netvigil.sources import alerts, flows, siem_lines, sinks, whitelist
 
 AS_OF = "2024-01-30 12:00:00"
@@ -22,7 +23,7 @@ def _now():
 def eve_lines(spark, d):
     """Signature-alert JSON lines: 'view' events are flow records, some alerts lack
     their alert object, lines of 'signup' by user 7 are cut short."""
-    ev = a.table(spark, d, "events")
+    ev = spread(a.table(spark, d, "events"))
     kind = F.col("event_type")
     alert = F.struct(
         (F.col("user_id") + 2000000).cast("int").alias("signature_id"),
@@ -66,7 +67,7 @@ def s03(spark, d):
 def host_lines(spark, d):
     """Host-alert JSON lines with the usual irregularities: address under three
     different keys, missing objects, text levels, a bad timestamp, broken lines."""
-    ev = a.table(spark, d, "events")
+    ev = spread(a.table(spark, d, "events"))
     kind, uid = F.col("event_type"), F.col("user_id")
     ip = a.host_ip(uid)
     line = F.to_json(F.struct(

@@ -64,6 +64,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files split into fewer tasks than that.
+
+    A single small file is read by one task, which would then also do all the work
+    behind it. A large table already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when a bounded count proves the side small.
 
