@@ -102,12 +102,25 @@ def union_layers(*layers: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), layers)
 
 
+INLINE_ENTRIES = 2_000
+
+
 def drop_whitelisted(detections: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Drop detections whose source or destination is listed (column ``ip``)."""
-    listed = bounded_broadcast(whitelist.select("ip").distinct())
-    return detections.join(
-        listed, detections["src_ip"] == listed["ip"], "left_anti"
-    ).join(listed, detections["dst_ip"] == listed["ip"], "left_anti")
+    """Drop detections whose source or destination is listed (column ``ip``).
+
+    A list proven short becomes a set predicate inside the scan stage; a longer
+    one is anti-joined (broadcast only when its size is proven too).
+    """
+    entries = whitelist.select("ip").distinct()
+    short = [r["ip"] for r in entries.limit(INLINE_ENTRIES + 1).collect()]
+    if len(short) <= INLINE_ENTRIES:
+        if not short:
+            return detections
+        listed = F.col("src_ip").isin(short) | F.col("dst_ip").isin(short)
+        return detections.filter(~F.coalesce(listed, F.lit(False)))
+    listed = bounded_broadcast(entries)
+    return detections.join(listed, detections["src_ip"] == listed["ip"], "left_anti").join(
+        listed, detections["dst_ip"] == listed["ip"], "left_anti")
 
 
 def drop_whitelisted_networks(detections: DataFrame, entries: DataFrame) -> DataFrame:
@@ -122,20 +135,24 @@ def drop_whitelisted_networks(detections: DataFrame, entries: DataFrame) -> Data
     return detections
 
 
-def dedup(detections: DataFrame, scope: tuple[str, ...] = ("capture_id",)) -> DataFrame:
+def dedup(
+    detections: DataFrame, scope: tuple[str, ...] = ("capture_id",), columns: list[str] | None = None
+) -> DataFrame:
     """Best detection per (scope, src, dst, attack): highest confidence, first on ties.
 
-    One aggregate with map-side combine, so a hot key ships one row per task.
+    One aggregate with map-side combine, so a hot key ships one row per task. The
+    key hash leads the grouping because the sort behind the aggregate then
+    compares one long instead of similar strings. ``columns`` limits what is
+    carried along to what the caller reads.
     """
     keys = [*scope, "src_ip", "dst_ip", "attack_type"]
-    rest = [c for c in DETECTION_COLUMNS if c not in keys and c != "flow_count"]
-    best = F.min_by(F.struct(*rest), F.struct(-F.col("confidence"), F.col("det_seq")))
-    return (
-        detections.groupBy(*keys)
-        .agg(best.alias("best"), F.sum("flow_count").alias("flow_count"))
-        .select(*keys, "best.*", "flow_count")
-        .select(*DETECTION_COLUMNS)
-    )
+    wanted = DETECTION_COLUMNS if columns is None else [*keys, *columns, "det_seq", "flow_count"]
+    rest = [c for c in wanted if c not in {*keys, "flow_count", "det_seq", "confidence"}]
+    best = F.min(F.struct((-F.col("confidence")).alias("_less"), "det_seq", *rest))
+    found = detections.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(
+        best.alias("best"), F.sum("flow_count").alias("flow_count"))
+    out = found.select(*keys, "best.*", "flow_count").withColumn("confidence", -F.col("_less"))
+    return out.select(*[c for c in DETECTION_COLUMNS if c in wanted])
 
 
 def cycle_summary(flows: DataFrame, raw: DataFrame, kept: DataFrame, unique: DataFrame) -> DataFrame:

@@ -136,5 +136,6 @@ def kept_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.drop_whitelisted(raw_detections(spark, sf_dir), whitelist(spark, sf_dir))
 
 
-def unique_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.dedup(kept_detections(spark, sf_dir))
+def unique_detections(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Unique detections; naming columns carries only those besides the keys."""
+    return detect.dedup(kept_detections(spark, sf_dir), columns=list(columns) or None)

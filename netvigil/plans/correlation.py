@@ -35,7 +35,7 @@ CORR_EXTRA = ",\n".join([SESS, RECENT, PAIRS])
 
 
 def _session(spark, d):
-    return detect.dedup(a.kept_detections(spark, d), scope=())
+    return detect.dedup(a.kept_detections(spark, d), scope=(), columns=["threat_level", "confidence"])
 
 
 def _recent(spark, d):
@@ -166,11 +166,12 @@ def _desc(rule_id: int) -> str:
 STATIC = " union all ".join(
     f"select det_seq, src_ip, ts, {i} as rule_id, {_LEVEL[i]} as level, {_desc(i)} as description from uniq where {p}"
     for i, p in _PRED.items())
+RULE_INPUT = ("dst_port", "confidence", "layer", "threat_level", "anomaly_score", "ts")
 HIT_OUT = ["det_seq", "src_ip", "ts", "rule_id", "level", "description"]
 
 
 def _static_hits(spark, d):
-    return rules.hits(rules.with_static_flags(a.unique_detections(spark, d)))
+    return rules.hits(rules.with_static_flags(a.unique_detections(spark, d, *RULE_INPUT)))
 
 
 @query("g1xx_static_rules", sql(STATIC, "uniq"))
@@ -215,7 +216,7 @@ def scaled_rules(scale: int):
 
 
 def _history(spark, d, scale):
-    flagged = rules.with_static_flags(a.unique_detections(spark, d))
+    flagged = rules.with_static_flags(a.unique_detections(spark, d, *RULE_INPUT))
     out = rules.with_history_flags(flagged, scaled_rules(scale))
     stateful = tuple(r for r in rules.RULES if r.matched)
     return rules.hits(out, stateful).select("det_seq", "rule_id")
@@ -260,7 +261,7 @@ ALL_ACTIONS = ("log", "alert", "block", "webhook", "email", "siem")
     f"select det_seq, {i} as action_order, '{n}' as action from uniq where threat_level >= {g}"
     for i, (n, g) in enumerate((("log", 1), ("alert", 2), ("block", 3), ("webhook", 2), ("email", 4), ("siem", 1)))), "uniq"))
 def d01(spark, d):
-    return respond.outbox(a.unique_detections(spark, d), ALL_ACTIONS).select("det_seq", "action_order", "action")
+    return respond.outbox(a.unique_detections(spark, d, "threat_level"), ALL_ACTIONS).select("det_seq", "action_order", "action")
 
 
 FEED = """feed as (select ctype as correlation_type, src_ip, attack_type, rule_id, threat_level,

@@ -37,20 +37,20 @@ def a01(spark, d):
   select threat_level, {LEVEL_NAME} as threat_name, count(*) as detections, cast(sum(flow_count) as bigint) as flows
   from uniq group by threat_level""", "uniq"))
 def a02(spark, d):
-    return report.by_level(a.unique_detections(spark, d))
+    return report.by_level(a.unique_detections(spark, d, "threat_level"))
 
 
 @query("a03_by_attack_cycle", sql("""
   select capture_id, attack_type, cast(sum(flow_count) as bigint) as flows, arg_min(threat_level, det_seq) as threat_level
   from uniq group by capture_id, attack_type""", "uniq"))
 def a03(spark, d):
-    return report.by_attack_cycle(a.unique_detections(spark, d))
+    return report.by_attack_cycle(a.unique_detections(spark, d, "threat_level"))
 
 
 @query("a04_by_layer", sql("""
   select layer, count(*) as detections, cast(sum(flow_count) as bigint) as flows from uniq group by layer""", "uniq"))
 def a04(spark, d):
-    return report.by_layer(a.unique_detections(spark, d))
+    return report.by_layer(a.unique_detections(spark, d, "layer"))
 
 
 SUMMARY_SQL = """select attack_type, count(*) as detections, cast(sum(flow_count) as bigint) as flows,
@@ -59,7 +59,7 @@ SUMMARY_SQL = """select attack_type, count(*) as detections, cast(sum(flow_count
 
 @query("a05_attack_summary", sql(SUMMARY_SQL, "uniq"))
 def a05(spark, d):
-    return report.attack_summary(a.unique_detections(spark, d)).withColumn(
+    return report.attack_summary(a.unique_detections(spark, d, "confidence")).withColumn(
         "max_confidence", F.round("max_confidence", 6))
 
 
@@ -71,7 +71,7 @@ def t02(spark, d):
     from pyspark.sql import Window
 
     w = Window.orderBy(F.desc("flows"), "attack_type")
-    return report.attack_summary(a.unique_detections(spark, d)).select(
+    return report.attack_summary(a.unique_detections(spark, d, "confidence")).select(
         F.row_number().over(w).alias("position"), "attack_type", "flows")
 
 
@@ -97,12 +97,12 @@ def a25(spark, d):
 
 @query("a07_attack_ips", sql("select distinct src_ip from uniq", "uniq"))
 def a07(spark, d):
-    return report.attack_ips(a.unique_detections(spark, d))
+    return report.attack_ips(a.unique_detections(spark, d, "threat_level"))
 
 
 @query("a07_attack_ip_count", sql("select count(distinct src_ip) as attack_ips from uniq", "uniq"))
 def a07_count(spark, d):
-    return report.attack_ip_count(a.unique_detections(spark, d))
+    return report.attack_ip_count(a.unique_detections(spark, d, "threat_level"))
 
 
 @query("a28_report_grouping_sets", sql("""
@@ -110,7 +110,7 @@ def a07_count(spark, d):
     count(*) as detections, cast(sum(flow_count) as bigint) as flows, round(max(confidence), 6) as max_confidence
   from uniq group by grouping sets ((threat_level), (attack_type), (layer), ())""", "uniq"))
 def a28(spark, d):
-    return report.one_pass_report(a.unique_detections(spark, d)).withColumn(
+    return report.one_pass_report(a.unique_detections(spark, d, "threat_level", "layer", "confidence")).withColumn(
         "max_confidence", F.round("max_confidence", 6))
 
 
@@ -121,7 +121,7 @@ TOP_OUT = ["src_ip", "dst_ip", "attack_type", "round(confidence, 6) as confidenc
 
 @query("t01_top5", sql(f"select {TOP_SQL} from uniq order by uniq.confidence desc, uniq.det_seq limit 5", "uniq"))
 def t01(spark, d):
-    return report.top_threats(a.unique_detections(spark, d)).selectExpr(*TOP_OUT)
+    return report.top_threats(a.unique_detections(spark, d, "confidence", "layer", "threat_level")).selectExpr(*TOP_OUT)
 
 
 @query("w07_top5_per_level", sql(f"""
@@ -129,7 +129,7 @@ def t01(spark, d):
     select *, row_number() over (partition by threat_level order by confidence desc, det_seq) as rk,
       count(*) over (partition by threat_level) as level_total from uniq) where rk <= 5""", "uniq"))
 def w07(spark, d):
-    return report.top_per_level(a.unique_detections(spark, d)).selectExpr(*TOP_OUT, "rank", "level_total", "more")
+    return report.top_per_level(a.unique_detections(spark, d, "confidence", "layer", "threat_level")).selectExpr(*TOP_OUT, "rank", "level_total", "more")
 
 
 @query("f02_non_benign", sql("select flow_id, label from flows where upper(label) <> 'BENIGN'", "flows"))
