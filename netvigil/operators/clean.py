@@ -144,11 +144,11 @@ def zero_fill(df: DataFrame, columns: list[str]) -> DataFrame:
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Infinities to null, then nulls to the exact median of their column."""
     cleaned = finite_or_null(df, columns)
-    nulls = cleaned.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    incomplete = [c for c in columns if nulls[c]]
+    tally = cleaned.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in columns]).first().asDict()
+    incomplete = [c for c in columns if tally[c] < tally["_rows"]]
     if not incomplete:
         return cleaned
-    medians = exact_quantiles(cleaned, incomplete, 0.5)
+    medians = exact_quantiles(cleaned, incomplete, 0.5, counts=tally)
     return cleaned.fillna({c: m for c, m in medians.items() if m is not None})
 
 

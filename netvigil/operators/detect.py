@@ -155,12 +155,15 @@ def dedup(
     return out.select(*[c for c in DETECTION_COLUMNS if c in wanted])
 
 
-def cycle_summary(flows: DataFrame, raw: DataFrame, kept: DataFrame, unique: DataFrame) -> DataFrame:
-    """One row per capture: flows seen, unique attacks, attack flows, whitelisted count."""
+def cycle_summary(flows: DataFrame, raw: DataFrame, unique: DataFrame) -> DataFrame:
+    """One row per capture: flows seen, unique attacks, attack flows, whitelisted count.
+
+    The flow counts of the unique detections sum to the detections that passed the
+    whitelist, so those need no pass of their own.
+    """
     parts = [
         flows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total_flows")),
         raw.groupBy("capture_id").agg(F.count(F.lit(1)).alias("raw_count")),
-        kept.groupBy("capture_id").agg(F.count(F.lit(1)).alias("kept_count")),
         unique.groupBy("capture_id").agg(
             F.count(F.lit(1)).alias("unique_attacks"), F.sum("flow_count").alias("attack_flows")
         ),
@@ -168,5 +171,5 @@ def cycle_summary(flows: DataFrame, raw: DataFrame, kept: DataFrame, unique: Dat
     joined = reduce(lambda a, b: a.join(b, "capture_id", "full"), parts).fillna(0)
     return joined.select(
         "capture_id", "total_flows", "unique_attacks", "attack_flows",
-        (F.col("raw_count") - F.col("kept_count")).alias("filtered_count"),
+        (F.col("raw_count") - F.col("attack_flows")).alias("filtered_count"),
     )

@@ -79,7 +79,8 @@ def top_per_level(unique: DataFrame, n: int = 5) -> DataFrame:
     ranked = unique.withColumn(
         "rank", F.row_number().over(Window.partitionBy("threat_level").orderBy(F.desc("confidence"), "det_seq"))
     ).filter(F.col("rank") <= n)
-    totals = unique.groupBy("threat_level").agg(F.count(F.lit(1)).alias("level_total"))
+    totals = unique.groupBy("threat_level").agg(
+        F.count(F.lit(1)).alias("level_total"), F.sum("flow_count").alias("level_flows"))
     return ranked.join(F.broadcast(totals), "threat_level").withColumn(  # at most four rows
         "more", F.greatest(F.col("level_total") - n, F.lit(0))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.operators.quantiles import exact_quantiles
+from netvigil.operators.quantiles import exact_quantile_table
 from netvigil.session import bounded_broadcast
 
 
@@ -32,10 +32,13 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Column statistics with exact quartiles."""
-    quartiles = {q: exact_quantiles(df, columns, q) for q in (0.25, 0.5, 0.75)}
-    rows = [(c, quartiles[0.25][c], quartiles[0.5][c], quartiles[0.75][c]) for c in columns]
-    table = df.sparkSession.createDataFrame(rows, "column string, p25 double, p50 double, p75 double")
-    return column_stats(df, columns).join(F.broadcast(table), "column")  # one row per column
+    stats = column_stats(df, columns).collect()  # one row per column
+    counts = {r["column"]: r["count"] for r in stats}
+    quartiles = exact_quantile_table(df, columns, [0.25, 0.5, 0.75], counts=counts)
+    rows = [(*r, *quartiles[r["column"]]) for r in stats]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, max double, missing long, "
+              "p25 double, p50 double, p75 double")
 
 
 def zero_variance_columns(df: DataFrame, columns: list[str]) -> list[str]:

@@ -35,7 +35,7 @@ def server_ip(key: Column) -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled, scored flows. flow_id sorts in arrival order within a capture."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     flag = F.concat("l_returnflag", "l_linestatus")
     line = F.col("l_linenumber")
     label = (
@@ -76,7 +76,7 @@ FLOW_FEATURES = ["flow_duration", "tot_fwd_pkts", "down_up_ratio", "active_mean"
 
 def signature_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened signature alerts (the same rows the JSON scan yields)."""
-    ev = spread(table(spark, sf_dir, "events"))
+    ev = spread(table(spark, sf_dir, "events"), "event_id")
     return ev.filter(F.col("event_type") != "view").select(
         F.year("ts").cast("string").alias("capture_id"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("row_key"),
@@ -100,7 +100,7 @@ HOST_GROUPS = {
 
 def host_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened host alerts; one in the 'view' family has no source address."""
-    ev = spread(table(spark, sf_dir, "events"))
+    ev = spread(table(spark, sf_dir, "events"), "event_id")
     kind = F.col("event_type")
     group = F.create_map(*[F.lit(x) for kv in HOST_GROUPS.items() for x in kv])[kind]
     return ev.select(

@@ -78,7 +78,7 @@ def t02(spark, d):
 def _summary(spark, d):
     raw = a.raw_detections(spark, d)
     kept = detect.drop_whitelisted(raw, a.whitelist(spark, d))
-    return detect.cycle_summary(a.flows(spark, d), raw, kept, detect.dedup(kept))
+    return detect.cycle_summary(a.flows(spark, d), raw, detect.dedup(kept, columns=[]))
 
 
 @query("a06_cycle_summary", sql("select * from summary", "summary"))
@@ -125,11 +125,13 @@ def t01(spark, d):
 
 
 @query("w07_top5_per_level", sql(f"""
-  select {TOP_SQL}, cast(rk as integer) as rank, level_total, greatest(level_total - 5, 0) as more from (
+  select {TOP_SQL}, cast(rk as integer) as rank, level_total, level_flows,
+    greatest(level_total - 5, 0) as more from (
     select *, row_number() over (partition by threat_level order by confidence desc, det_seq) as rk,
-      count(*) over (partition by threat_level) as level_total from uniq) where rk <= 5""", "uniq"))
+      count(*) over (partition by threat_level) as level_total,
+      cast(sum(flow_count) over (partition by threat_level) as bigint) as level_flows from uniq) where rk <= 5""", "uniq"))
 def w07(spark, d):
-    return report.top_per_level(a.unique_detections(spark, d, "confidence", "layer", "threat_level")).selectExpr(*TOP_OUT, "rank", "level_total", "more")
+    return report.top_per_level(a.unique_detections(spark, d, "confidence", "layer", "threat_level")).selectExpr(*TOP_OUT, "rank", "level_total", "level_flows", "more")
 
 
 @query("f02_non_benign", sql("select flow_id, label from flows where upper(label) <> 'BENIGN'", "flows"))

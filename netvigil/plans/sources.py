@@ -23,7 +23,7 @@ def _now():
 def eve_lines(spark, d):
     """Signature-alert JSON lines: 'view' events are flow records, some alerts lack
     their alert object, lines of 'signup' by user 7 are cut short."""
-    ev = spread(a.table(spark, d, "events"))
+    ev = spread(a.table(spark, d, "events"), "event_id")
     kind = F.col("event_type")
     alert = F.struct(
         (F.col("user_id") + 2000000).cast("int").alias("signature_id"),
@@ -67,7 +67,7 @@ def s03(spark, d):
 def host_lines(spark, d):
     """Host-alert JSON lines with the usual irregularities: address under three
     different keys, missing objects, text levels, a bad timestamp, broken lines."""
-    ev = spread(a.table(spark, d, "events"))
+    ev = spread(a.table(spark, d, "events"), "event_id")
     kind, uid = F.col("event_type"), F.col("user_id")
     ip = a.host_ip(uid)
     line = F.to_json(F.struct(

@@ -39,7 +39,7 @@ def detection_loop(
         write_batch(unique, f"{config.out}/detections", batch_id)
         write_batch(respond.outbox(unique, config.enabled_actions, config.block_threshold)
                     .select("det_seq", "action_order", "action"), f"{config.out}/outbox", batch_id)
-        write_batch(detect.cycle_summary(batch, raw, kept, unique), f"{config.out}/summary", batch_id)
+        write_batch(detect.cycle_summary(batch, raw, unique), f"{config.out}/summary", batch_id)
         unique.unpersist()
         raw.unpersist()
 
