@@ -42,9 +42,13 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def zero_variance_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns whose sample std is exactly 0 (a null std, n <= 1, is kept)."""
-    std = df.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
-    return [c for c in columns if std[c] == 0]
+    """Columns with zero sample std (a null std, n <= 1, is kept).
+
+    Decided by min = max: merging partial deviations of a constant can leave a
+    rounding residue.
+    """
+    flat = df.agg(*[((F.count(c) > 1) & (F.min(c) == F.max(c))).alias(c) for c in columns]).first()
+    return [c for c in columns if flat[c]]
 
 
 def correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
