@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.operators.slices import running_sums
@@ -40,7 +40,7 @@ def per_class(matrix: DataFrame) -> DataFrame:
 def overall(matrix: DataFrame) -> DataFrame:
     """Accuracy with macro and support-weighted averages, in one row."""
     classes = per_class(matrix)
-    weight = F.col("support") / F.sum("support").over(_all())
+    weight = F.col("support") / F.sum("support").over(Window.partitionBy())  # one row per class
     named = classes.withColumn("_w", weight)
     averages = named.agg(
         *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")],
@@ -50,12 +50,6 @@ def overall(matrix: DataFrame) -> DataFrame:
     return hits.crossJoin(averages)  # one row by one row
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # over the per-class rows of a confusion matrix
-
-
 def pr_auc(scores: DataFrame, buckets: int = 256) -> DataFrame:
     """Area under the precision-recall curve per class, one against the rest.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from netvigil.operators import clean, quantiles, report, select
@@ -167,8 +169,6 @@ def p18(spark, d):
     (select count(*) / 20.0 from flows))""", "flows"))
 def f04(spark, d):
     f = a.flows(spark, d).select("flow_id", "label")
-    import math
-
     return select.drop_rare_classes(f, "label", math.ceil(f.count() / 20))
 
 
