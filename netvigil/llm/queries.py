@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netvigil.llm import simhash
-from netvigil.llm.common import table
+from netvigil.llm import chat, decontaminate, outliers, quality, repeats, sharding, simhash, toxicity
+from netvigil.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,82 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _held_out_scores(scores: DataFrame, parts: int, held: int, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold(parts) == held).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
+    return _held_out_scores(scores, 5, 0, quality.THRESHOLD)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
+    return _held_out_scores(scores, 4, 2, toxicity.THRESHOLD)
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflict = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)],
+                                  "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows.unionByName(probe)).withColumn("turns", chat.parse(F.col("formatted")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), told.alias("told"),
+                     chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "round_trip")
+    return out.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"), "round_trip")
+
+
+_ESCAPED = r"""regexp_replace({0}, '([\[<])(\\*)(/?(?:INST|SYS|ROLE|TURN)\]|/?s>)', '\1\\\2\3', 'g')"""
+
+ORACLES["op6_chat"] = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (
+    SELECT *, length({_ESCAPED.format('text')})
+              + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 7
+                ELSE 25 + length({_ESCAPED.format('role')}) END AS chars
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::bigint AS formatted_chars, true AS round_trip
+FROM marked GROUP BY conv_id
+"""
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = sharding.assign(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "distance")
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats_digest(table(spark, sf_dir, "documents"))
