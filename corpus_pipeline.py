@@ -5,19 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netvigil.llm import simhash
+from netvigil.llm import bpe, decontaminate, pii, simhash, toxicity
+from netvigil.llm.common import fold, table
+from netvigil.llm.queries import word_bpe
 from netvigil.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go; rows that share an id go together, rows without one stay."""
+    scores = toxicity.score(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    rejected = materialize(scores.where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct(), "toxic")
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_first(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked by its kind."""
+    return pii.mask(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Subword ids of each document, with the digest of what they decode to."""
+    definition = word_bpe()
+    return bpe.digests(bpe.encode(docs, definition), definition, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("simhash", near_duplicates), ("decontamination", decontaminated), ("pii", without_pii), ("bpe", encoded)]
 
 # Hash fingerprints, model scores and subword ids cannot be stated in SQL.
 ORACLE_SQL: str | None = None

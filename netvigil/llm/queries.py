@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.llm import chat, decontaminate, outliers, quality, repeats, sharding, simhash, toxicity
+from netvigil.llm import bpe, chat, decontaminate, outliers, pii, quality, repeats, sharding, simhash, toxicity
 from netvigil.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(scores, 5, 0, quality.THRESHOLD)
 
 
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -56,6 +61,19 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), "round_trip")
 
 
+def word_bpe() -> str:
+    """Definition of the public word tokenizer that the box offers."""
+    import public_tokenizers
+
+    return bpe.read_definition(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    definition = word_bpe()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+
+
 _ESCAPED = r"""regexp_replace({0}, '([\[<])(\\*)(/?(?:INST|SYS|ROLE|TURN)\]|/?s>)', '\1\\\2\3', 'g')"""
 
 ORACLES["op6_chat"] = f"""
