@@ -101,6 +101,30 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+# The checksum table follows from the polynomial 0xEDB88320, eight shifts for each byte.
+ORACLES["op7_sharding"] = """
+WITH RECURSIVE steps(i, k, v) AS (
+    SELECT i, 0, i::bigint FROM range(256) t(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+bytes AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+sized AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+           xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint),
+                           lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295) AS text_crc32,
+           coalesce('=' || source, 'null') AS stratum, md5('42:' || coalesce(doc_id::varchar, '')) AS draw
+    FROM documents, bytes),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) AS place,
+           count(*) OVER (PARTITION BY stratum) AS members FROM sized),
+ordered AS (
+    SELECT *, row_number() OVER (ORDER BY (place - 0.5::double) / members::double, stratum, draw, doc_id NULLS FIRST, text_crc32, size) - 1 AS spot,
+           count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (spot * 40 // total)::int AS shard,
+       spot - (spot * 40 // total * total + 39) // 40 AS slot, NULL::int AS grown_shard
+FROM ordered
+"""
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
