@@ -128,8 +128,9 @@ def starts_repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         "doc_key long, text_key long, core long, hull long, low int, high int, trigger int",
         lambda d, k, text: [(d, k, *p) for p in phrases(text, length, window)]), "parse")
     one = F.lit(1)
-    seen = parse.join(_named(parse, one, "core").select("core", "mixed"), "core")
-    seen = materialize(seen, "repeated")
+    # written first, so that both sides of the join are dealt by it and a hot core can be split
+    repeated = materialize(_named(parse, one, "core").select("core", "mixed"), "cores")
+    seen = materialize(parse.join(repeated, "core"), "repeated")
     span = [*_ID, "low", "high"]
     whole = seen.where(~F.col("mixed")).select(*span)
 
@@ -177,6 +178,7 @@ def starts_repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     single = materialize(_spread(body.join(mixed, [*_ID, "low"]).select(*_ID, "low", "weight", "body", "blocks"),
                                  "doc_key long, text_key long, low int, core long, hull long, weight int", singles), "singles")
     again = single.groupBy("core", "hull").agg(F.sum("weight").alias("n")).where("n > 1").select("core", "hull")
+    again = materialize(again, "strings")
     alone = single.where("weight = 1").join(again, ["core", "hull"], "left_semi").select(*_ID, "low", F.col("low").alias("high"))
     return whole.unionByName(copied).unionByName(alike).unionByName(alone)
 
