@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
     if not _SEEN.search(text):
         return []
     out = list(_emails(text))
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 12 <= len(d) <= 19 and luhn(d):

@@ -103,7 +103,7 @@ def test_base_patterns(text):
 
 
 def test_base_patterns_cases():
-    for text in ("x a@b@c.com y", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (017) 555-7713.", "000001.2.3.4", "9" * 5000 + ".1.2.3", "@" * 50):
+    for text in ("x a@b@c.com y", "a@b.c.d@e.f", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (017) 555-7713.", "000001.2.3.4", "9" * 4000 + ".1.2.3", "@" * 50):
         assert pii.base_spans(text) == plain_spans(text)
 
 
@@ -120,7 +120,7 @@ def test_chain_adds_what_patterns_miss(spark, chain):
     assert rows[1]["spans"] == "phone:5:19"
     assert rows[2]["spans"] == "secret:9:49"
     assert [rows[i]["spans"] for i in (3, 4, 5)] == ["", "", ""]
-    assert (rows[6]["n_email"], rows[6]["spans"], rows[6]["base_sha256"]) == (1, "email:18:25", hashlib.sha256(b"email:18:25").hexdigest())
+    assert (rows[6]["n_email"], rows[6]["spans"], rows[6]["base_sha256"]) == (1, "email:16:23", hashlib.sha256(b"email:16:23").hexdigest())
 
 
 def test_base_spans_stay(chain):
