@@ -11,7 +11,7 @@ from netvigil.functions import levels
 from netvigil.functions.text import signature_attack
 from netvigil.schemas import DETECTION_COLUMNS
 from netvigil.session import bounded_broadcast
-from netvigil.sources.whitelist import expand_cidr, network_number
+from netvigil.sources.whitelist import expand_cidr, ip_number, network_number
 
 SIGNATURE_CONFIDENCE = 0.95
 # Arrival order of the layers; det_seq is "<ordinal>-<row key>".
@@ -124,7 +124,13 @@ def drop_whitelisted(detections: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 
 def drop_whitelisted_networks(detections: DataFrame, entries: DataFrame) -> DataFrame:
-    """As ``drop_whitelisted`` with CIDR entries: one equi-join per listed prefix length."""
+    """As ``drop_whitelisted`` with CIDR entries: one equi-join per listed prefix length.
+
+    Entries that are not IPv4 (an IPv6 address, a host name) match by their text.
+    """
+    other = bounded_broadcast(entries.filter(ip_number(F.substring_index("ip", "/", 1)).isNull()).select("ip").distinct())
+    for side in ("src_ip", "dst_ip"):
+        detections = detections.join(other, F.col(side) == F.col("ip"), "left_anti")
     networks = expand_cidr(entries)
     lengths = sorted(r[0] for r in networks.select("prefix_bits").distinct().collect())  # at most 33
     for bits in lengths:
@@ -148,7 +154,8 @@ def dedup(
     keys = [*scope, "src_ip", "dst_ip", "attack_type"]
     wanted = DETECTION_COLUMNS if columns is None else [*keys, *columns, "det_seq", "flow_count"]
     rest = [c for c in wanted if c not in {*keys, "flow_count", "det_seq", "confidence"}]
-    best = F.min(F.struct((-F.col("confidence")).alias("_less"), "det_seq", *rest))
+    # an unknown confidence comes last
+    best = F.min(F.struct(F.col("confidence").isNull().alias("_unknown"), (-F.col("confidence")).alias("_less"), "det_seq", *rest))
     found = detections.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(
         best.alias("best"), F.sum("flow_count").alias("flow_count"))
     out = found.select(*keys, "best.*", "flow_count").withColumn("confidence", -F.col("_less"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netvigil.operators.slices import join_null_safe
 from netvigil.session import bounded_broadcast
 
 BUCKET_DIGITS = 3  # 4096 buckets per class
@@ -33,7 +34,7 @@ def seeded_rank(
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", row_id)
     ranked = rows.withColumn("_in", F.row_number().over(inside))
     return (
-        ranked.join(bounded_broadcast(offsets), [*by, "_bucket"])
+        join_null_safe(ranked, bounded_broadcast(offsets), [*by, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_in"))
         .withColumnRenamed("_class_rows", "class_rows")
         .drop("_hash", "_bucket", "_in", "_before", "_rows")
@@ -65,7 +66,7 @@ def first_in_seeded_order(
     cuts = cuts.select(
         *by, "_bucket", "_before", "_cap", (F.col("_before") + F.col("_rows") <= F.col("_cap")).alias("_whole")
     )
-    placed = rows.join(bounded_broadcast(cuts), [*by, "_bucket"])
+    placed = join_null_safe(rows, bounded_broadcast(cuts), [*by, "_bucket"])
     edge = Window.partitionBy(*by, "_bucket").orderBy("_hash", row_id)
     crossing = (
         placed.filter(~F.col("_whole")).withColumn("_in", F.row_number().over(edge))
@@ -75,18 +76,18 @@ def first_in_seeded_order(
 
 
 def encode_labels(df: DataFrame, label: str, name: str = "attack_number") -> DataFrame:
-    """Alphabetical label codes from 0; distinct labels are a small aggregate."""
+    """Alphabetical label codes from 0; distinct labels are a small aggregate. A null label keeps its row, without a code."""
     codes = (
-        df.select(label).distinct()
+        df.select(label).dropna().distinct()
         .withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
     )
-    return df.join(bounded_broadcast(codes), label)
+    return df.join(bounded_broadcast(codes), label, "left")
 
 
 def stratified_split(
     df: DataFrame, row_id: str, by: list[str], test: float = 0.2, validation: float = 0.125, seed: int = 42
 ) -> DataFrame:
-    """Column ``split``: per class, ``test`` of all rows, ``validation`` of the rest, else train."""
+    """Column ``split``: per class, ``test`` of all rows, ``validation`` of the rest, else train. Null is a class."""
     ranked = seeded_rank(df, row_id, by, seed)
     n_test = F.round(F.col("class_rows") * test).cast("long")
     n_val = F.round((F.col("class_rows") - n_test) * validation).cast("long")
@@ -98,16 +99,16 @@ def stratified_split(
 
 
 def undersample(df: DataFrame, row_id: str, by: str, value, cap: int, seed: int = 42) -> DataFrame:
-    """Cut one class to ``cap`` rows by seeded order; other classes stay whole."""
+    """Cut one class to ``cap`` rows by seeded order; other classes, null among them, stay whole."""
     chosen = first_in_seeded_order(df.filter(F.col(by) == value), row_id, [by], cap, seed)
-    return df.filter(F.col(by) != value).unionByName(chosen)
+    return df.filter(~F.col(by).eqNullSafe(F.lit(value))).unionByName(chosen)
 
 
 def per_class_sample(
     df: DataFrame, row_id: str, label: str, n: int = 100, include_benign: bool = False, seed: int = 42
 ) -> DataFrame:
-    """Up to ``n`` rows of every label (benign optional, once)."""
-    rows = df if include_benign else df.filter(F.upper(label) != "BENIGN")
+    """Up to ``n`` rows of every label (benign optional, once); null is a label."""
+    rows = df if include_benign else df.filter(~F.upper(label).eqNullSafe(F.lit("BENIGN")))
     return first_in_seeded_order(rows, row_id, [label], n, seed)
 
 

@@ -8,6 +8,8 @@ two-level running totals.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ from netvigil.session import bounded_broadcast, materialize
 _POSITION_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equality join in which a null key meets a null key; the keys are the left side's."""
+    named = right.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys])
+    return left.join(named, on, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "flow_seq") -> DataFrame:
     """Dense 1-based position of each row within its key, without a per-key task.
 
@@ -40,7 +49,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "f
         "_part", *keys, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     return (
-        local.join(bounded_broadcast(offsets), ["_part", *keys])
+        join_null_safe(local, bounded_broadcast(offsets), ["_part", *keys])
         .withColumn(name, F.col("_offset") + F.col("_pos") - F.col("_first") + 1)
         .drop("_part", "_pos", "_first", "_offset")
     )
@@ -78,7 +87,7 @@ def running_sums(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()])
-    joined = summed.join(offsets, [*keys, "_bucket"])
+    joined = join_null_safe(summed, offsets, [*keys, "_bucket"])
     return joined.select(
         *[c for c in df.columns], *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums]
     )
@@ -99,7 +108,7 @@ def with_previous(
     )
     tails = sliced.groupBy(*keys, "_slice").agg(F.max_by(column, F.struct(*order)).alias("_last"))
     carry = tails.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")))
-    joined = rows.join(carry.select(*keys, "_slice", "_carry"), [*keys, "_slice"])
+    joined = join_null_safe(rows, carry.select(*keys, "_slice", "_carry"), [*keys, "_slice"])
     return joined.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
         "_slice", "_lag", "_first", "_carry"
     )
