@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netvigil.models import classifiers, isolation, oversample, reconstruction, vae
+from netvigil.models import classifiers, isolation, oversample, reconstruction
 from netvigil.operators import metrics
 
 
@@ -42,34 +42,26 @@ def test_linear_reconstruction(data):
     assert rate[0] == pytest.approx(0.2, abs=0.01) and rate[1] > 0.9
 
 
-def test_vae_learns_scores_and_reloads(spark, data, tmp_path):
-    params = vae.VaeParams(latent=4, hidden=(32, 16, 8), epochs=12, partitions=2, dropout=0.0)
-    model = vae.fit_vae(data.filter("attack = 0"), params=params)
-    assert model.history[-1] < model.history[0]
-    rate = {r["attack"]: r["rate"] for r in model.transform(data).groupBy("attack").agg(
-        F.avg((F.col("score") > model.threshold).cast("int")).alias("rate")).collect()}
-    assert rate[0] == pytest.approx(0.2, abs=0.01) and rate[1] > 0.8
-    model.save(spark, str(tmp_path / "vae"))
-    back = vae.Vae.load(spark, str(tmp_path / "vae"))
-    total = lambda m: m.transform(data, use_combined=True).agg(F.sum("score")).first()[0]
-    assert total(back) == pytest.approx(total(model))
-
-
-def test_vae_gradients_match_differences():
-    p = vae.VaeParams(latent=2, hidden=(5, 4, 3), dropout=0.0)
-    plan = vae._plan(p, 3)
-    w, x = vae._init(plan, 1), np.random.default_rng(2).normal(size=(8, 3))
-    loss = lambda: vae._loss_and_grads(plan, w, x, p, np.random.default_rng(5))
-    _, grads = loss()
-    for k in ("enc0.w", "enc2.g", "mean0.w", "logv0.b", "dec0.w", "dec2.b"):
-        at = tuple(0 for _ in w[k].shape)
-        kept = w[k][at]
-        w[k][at] = kept + 1e-5
-        up = loss()[0]
-        w[k][at] = kept - 1e-5
-        down = loss()[0]
-        w[k][at] = kept
-        assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+def test_attacks_change_neither_scaler_nor_threshold(spark):
+    """Preparation and detector are fitted on benign flows alone, whatever else the table holds."""
+    from netvigil.models.preparation import fit_preparation
+    from netvigil.operators import clean
+
+    rng = np.random.default_rng(4)
+    rows = [("c", f"{i:04d}", "BENIGN", float(rng.normal(200, 30)), float(rng.normal())) for i in range(300)]
+    dirty = [("c", "9000", "BENIGN", None, 1.0), ("c", "9001", "BENIGN", float("inf"), 1.0)]
+    attacks = [("c", f"{i:04d}a", "DDoS", 1e9, -50.0) for i in range(100)]
+    fits = []
+    for more in ([], attacks):
+        table = spark.createDataFrame(rows + dirty + more, "capture_id string, flow_id string, label string, x double, y double")
+        benign, _ = clean.split_benign(table)
+        fitted = fit_preparation(benign, ["x", "y"])
+        windows = fitted.training_windows(benign, "capture_id", "flow_id", ("flow_id",))
+        assert windows.count() == 296
+        assert fitted.scoring_windows(table, "capture_id", "flow_id").count() == table.count() - 4
+        fits.append((fitted, reconstruction.fit_linear_reconstruction(windows, 2).threshold))
+    assert fits[0][0] == fits[1][0] and fits[0][0].logged == ["x"]
+    assert fits[0][1] == pytest.approx(fits[1][1])
 
 
 def test_oversample_reaches_target_inside_class(spark):

@@ -8,7 +8,6 @@ import pytest
 from netvigil.plans import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"m09_forest", "m10_boosted", "m11_compare", "m12_score", "m13_m14_iforest", "m15_m16_vae"}  # banded in test_models
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def test_matches_oracle(spark, duck, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
