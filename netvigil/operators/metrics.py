@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.operators.slices import running_sums
+from netvigil.session import materialize
 
 
 def confusion(predictions: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -47,19 +49,21 @@ def overall(matrix: DataFrame) -> DataFrame:
         *[F.sum(F.col(m) * F.col("_w")).alias(f"{m}_weighted") for m in ("precision", "recall", "f1")],
     )
     hits = matrix.agg((F.sum(F.when(F.col("label") == F.col("pred"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("accuracy"))
-    return hits.crossJoin(averages)  # one row by one row
+    return hits.withColumn("_one", F.lit(1)).join(averages.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
 
 
-def pr_auc(scores: DataFrame, buckets: int = 256) -> DataFrame:
+def pr_auc(scores: DataFrame) -> DataFrame:
     """Area under the precision-recall curve per class, one against the rest.
 
     Input: (class, score, positive). The curve runs over distinct scores,
     highest first, from (recall 0, precision 1), trapezoid rule. Equal scores
-    combine before any ordering; running sums work in score buckets, so no task
+    combine before any ordering and are written once; running sums work in
+    score buckets whose number grows with the root of the points, so no task
     orders a whole class.
     """
-    points = scores.groupBy("class", "score").agg(
-        F.sum(F.col("positive").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
+    points = materialize(scores.groupBy("class", "score").agg(
+        F.sum(F.col("positive").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")), "points")
+    buckets = max(2, isqrt(points.count()))
     cuts = points.approxQuantile("score", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
@@ -74,7 +78,12 @@ def pr_auc(scores: DataFrame, buckets: int = 256) -> DataFrame:
     precision = F.col("ctp") / F.col("cn")
     before_precision = F.coalesce(F.try_divide(before_tp, before_n), F.lit(1.0))
     area = _ratio(F.col("tp"), F.col("positives")) * (precision + before_precision) / 2
-    return curve.join(F.broadcast(totals), "class").groupBy("class").agg(F.sum(area).alias("pr_auc"))
+    return curve.join(totals, "class").groupBy("class").agg(F.sum(area).alias("pr_auc"))
+
+
+def with_macro(per_class: DataFrame, name: str = "macro") -> DataFrame:
+    """The classes' areas and, as one more row, their mean."""
+    return per_class.unionByName(per_class.agg(F.lit(name).alias("class"), F.avg("pr_auc").alias("pr_auc")))
 
 
 def model_metrics(predictions: DataFrame, model: str) -> DataFrame:

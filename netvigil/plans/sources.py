@@ -9,7 +9,6 @@ from netvigil.operators import clean, report, sampling
 from netvigil.plans import adapters as a
 from netvigil.plans.oracle import LEVEL_NAME, THR, _host, _server, level_case, sql
 from netvigil.plans.registry import query
-from netvigil.session import spread
 from netvigil.sources import alerts, flows, siem_lines, sinks, whitelist
 
 AS_OF = "2024-01-30 12:00:00"
@@ -23,7 +22,7 @@ def _now():
 def eve_lines(spark, d):
     """Signature-alert JSON lines: 'view' events are flow records, some alerts lack
     their alert object, lines of 'signup' by user 7 are cut short."""
-    ev = spread(a.table(spark, d, "events"), "event_id")
+    ev = a.table(spark, d, "events")
     kind = F.col("event_type")
     alert = F.struct(
         (F.col("user_id") + 2000000).cast("int").alias("signature_id"),
@@ -67,7 +66,7 @@ def s03(spark, d):
 def host_lines(spark, d):
     """Host-alert JSON lines with the usual irregularities: address under three
     different keys, missing objects, text levels, a bad timestamp, broken lines."""
-    ev = spread(a.table(spark, d, "events"), "event_id")
+    ev = a.table(spark, d, "events")
     kind, uid = F.col("event_type"), F.col("user_id")
     ip = a.host_ip(uid)
     line = F.to_json(F.struct(
@@ -356,16 +355,17 @@ def x11(spark, d):
     round(list_sum(list_transform(p, lambda v: v * v * 0.25)) / len(p), 6) as mse,
     round(-0.5 * list_sum(list_transform(p, lambda v: 1.0 + v - v * v - exp(v))), 6) as kl,
     round(list_sum(list_transform(p, lambda v: v * v * 0.25)) / len(p)
-      + 0.5 * (-0.5 * list_sum(list_transform(p, lambda v: 1.0 + v - v * v - exp(v)))) / 10, 6) as combined
-  from (select vec_id, list_transform(embedding[1:10], lambda v: cast(v as double)) as p from embeddings)""")
+      + 0.5 * (-0.5 * list_sum(list_transform(p, lambda v: 1.0 + v - v * v - exp(v)))) / len(p), 6) as combined
+  from (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as p from embeddings)""")
 def x10(spark, d):
-    p = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    p = F.transform("embedding", lambda v: v.cast("double"))
     e = a.table(spark, d, "embeddings").select("vec_id", p.alias("p"))
+    dims = len(a.table(spark, d, "embeddings").select("embedding").first()[0])
     half = F.transform("p", lambda v: v * 0.5)
     mse, kl = scores.squared_error(F.col("p"), half), scores.kl_divergence(F.col("p"), F.col("p"))
     return e.select(
         "vec_id", F.round(scores.max_probability(F.col("p")), 6).alias("confidence"),
-        scores.argmax_label(F.col("p"), [f"class{i}" for i in range(10)]).alias("label"),
+        scores.argmax_label(F.col("p"), [f"class{i}" for i in range(dims)]).alias("label"),
         F.round(mse, 6).alias("mse"), F.round(kl, 6).alias("kl"),
-        F.round(scores.combined_error(mse, kl, 0.5, 10), 6).alias("combined"),
+        F.round(scores.combined_error(mse, kl, 0.5, dims), 6).alias("combined"),
     )

@@ -169,20 +169,23 @@ def a19(spark, d):
 AUC = """pts as (select c.class, s.score, sum(case when s.label = c.class then 1 else 0 end) as tp, count(*) as n
     from (select distinct label as class from flows) c,
       (select label, case when label = 'DDoS' then flow_duration / 1000 + 10 else flow_duration / 1000 end as score from flows) s
-    where c.class in ('BENIGN', 'DDoS', 'PortScan') group by c.class, s.score),
+    group by c.class, s.score),
   cum as (select *, sum(tp) over w as ctp, sum(n) over w as cn from pts window w as (partition by class order by score desc)),
   curve as (select class, ctp * 1.0::double / cn as p, ctp * 1.0::double / max(ctp) over (partition by class) as r, score from cum),
   seg as (select class, p, r, coalesce(lag(p) over v, 1.0) as p0, coalesce(lag(r) over v, 0.0) as r0 from curve
     window v as (partition by class order by score desc))"""
 
 
-@query("a20_pr_auc", sql("select class, round(sum((r - r0) * (p + p0) / 2), 6) as pr_auc from seg group by class", "flows", extra=AUC))
+@query("a20_pr_auc", sql("""select class, round(area, 6) as pr_auc from area
+  union all select 'macro', round(avg(area), 6) from area""", "flows", extra=AUC + """,
+  area as (select class, sum((r - r0) * (p + p0) / 2) as area from seg group by class)"""))
 def a20(spark, d):
     f = a.flows(spark, d)
     score = F.when(F.col("label") == "DDoS", F.col("flow_duration") / 1000 + 10).otherwise(F.col("flow_duration") / 1000)
-    named = F.explode(F.array(*[F.lit(c) for c in ("BENIGN", "DDoS", "PortScan")])).alias("class")
+    names = [r["label"] for r in f.select("label").distinct().collect()]  # classes
+    named = F.explode(F.array(*[F.lit(c) for c in sorted(names)])).alias("class")
     s = f.select("label", score.alias("score"), named).withColumn("positive", F.col("label") == F.col("class"))
-    return metrics.pr_auc(s).select("class", F.round("pr_auc", 6).alias("pr_auc"))
+    return metrics.with_macro(metrics.pr_auc(s)).select("class", F.round("pr_auc", 6).alias("pr_auc"))
 
 
 @query("a21_best_model", sql("""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,38 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_created: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder; ``release_scratch`` removes what lies there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _created.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Remove the scratch tables made since the given mark; results that still read them must have been written.
+
+    Gives the number of paths that were there.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for text in _created[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    del _created[since:]
+    return removed
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch tables made inside: they are gone when the block ends. Write or collect results within it."""
+    mark = len(_created)
+    try:
+        yield
+    finally:
+        release_scratch(spark, mark)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -68,16 +99,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the cores, by key hash, when its files split into fewer tasks than that.
-
-    A single small file is read by one task, which would then also do all the work
-    behind it. A large table already has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when a bounded count proves the side small.
 

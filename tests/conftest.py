@@ -17,4 +17,7 @@ def spark():
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from netvigil.session import release_scratch
+
+    release_scratch(session)
     session.stop()

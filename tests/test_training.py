@@ -131,7 +131,7 @@ def test_pr_auc_equals_direct_curve(spark):
     s = np.round(rng.random(800), 2)
     y = (rng.random(800) < s).astype(int)
     df = spark.createDataFrame([("c", float(a), bool(b)) for a, b in zip(s, y)], "class string, score double, positive boolean")
-    assert metrics.pr_auc(df, buckets=16).first()["pr_auc"] == pytest.approx(sklearn_like_auc(y, s), abs=1e-9)
+    assert metrics.pr_auc(df).first()["pr_auc"] == pytest.approx(sklearn_like_auc(y, s), abs=1e-9)
 
 
 def test_confusion_sums_to_rows(spark):
