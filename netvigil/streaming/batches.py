@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -17,11 +18,20 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_updates(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Of the rows written under each key, those of the last batch that wrote any: later batches replace earlier ones."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max("batch_id").alias("_last"))
+    match = [rows[k].eqNullSafe(last[k]) for k in keys] + [rows["batch_id"] == last["_last"]]
+    return rows.join(last, match, "left_semi").drop("batch_id")
+
+
 class CarriedState:
     """A table handed from batch to batch, one version per batch id.
 
     Batch n reads version n-1 and writes version n; a replayed batch reads the
-    same input again, so the outcome does not depend on retries.
+    same input again, so the outcome does not depend on retries. Versions before
+    n-1 are removed, as no replay can ask for them.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -34,6 +44,10 @@ class CarriedState:
 
     def save(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        if batch_id > 1:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={batch_id - 2}")
+            old.getFileSystem(conf).delete(old, True)
 
 
 def run_available(

@@ -16,25 +16,33 @@ NEEDED = ["det_seq", "src_ip", "dst_ip", "dst_port", "attack_type", "confidence"
 
 def rule_stream(
     detections: DataFrame, out: str, checkpoint: str, rules: tuple[ruleset.Rule, ...] = ruleset.RULES,
-    interval: str | None = None,
+    interval: str | None = None, lateness_seconds: int = 3600,
 ) -> StreamingQuery:
-    """All rule hits of each micro-batch, with the tail of earlier batches as history.
+    """All rule hits of the detections each micro-batch adds or can change.
 
-    The carried tail holds detections within the longest timeframe of the newest
-    event, which is all that any rule can look back to.
+    The carried tail holds detections within ``lateness_seconds`` and the longest timeframe of the newest event. A late
+    event changes the history of newer ones, so everything from a batch's first event on is judged again; readers take
+    each detection's last version (``read_updates`` by det_seq). Events later than the lateness are written to ``late``.
     """
     longest = max(r.timeframe for r in rules if r.timeframe)
     types = {f.name: f.dataType.simpleString() for f in detections.schema.fields}
     state = CarriedState(detections.sparkSession, f"{out}/tail", ", ".join(f"{c} {types[c]}" for c in NEEDED))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = batch.select(*NEEDED).withColumn("_now", F.lit(True))
-        history = state.before(batch_id).select(*NEEDED).withColumn("_now", F.lit(False))
-        both = now.unionByName(history)
+        micros = epoch_micros(F.col("ts"))
+        history = state.before(batch_id).select(*NEEDED)
+        before = history.agg(F.max(micros)).first()[0]
+        closed = F.lit(False) if before is None else micros < before - lateness_seconds * 1_000_000
+        write_batch(batch.filter(closed), f"{out}/late", batch_id)
+        fresh = batch.filter(~closed).select(*NEEDED)
+        first, newest = fresh.agg(F.min(micros), F.max(micros)).first()
+        if first is None:
+            state.save(history, batch_id)
+            return
+        both = history.unionByName(fresh)
         flagged = ruleset.with_history_flags(ruleset.with_static_flags(both, rules), rules)
-        write_batch(ruleset.hits(flagged.filter("_now"), rules), f"{out}/hits", batch_id)
-        newest = both.agg(F.max(epoch_micros(F.col("ts")))).first()[0]
-        keep = F.lit(newest if newest is not None else 0) - longest * 1_000_000
-        state.save(both.filter(epoch_micros(F.col("ts")) >= keep).select(*NEEDED), batch_id)
+        write_batch(ruleset.hits(flagged.filter(micros >= first), rules), f"{out}/hits", batch_id)
+        keep = max(newest, before or newest) - (longest + lateness_seconds) * 1_000_000
+        state.save(both.filter(micros >= keep), batch_id)
 
     return run_available(detections, each, f"{checkpoint}/rules", interval=interval)
