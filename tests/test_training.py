@@ -139,3 +139,19 @@ def test_confusion_sums_to_rows(spark):
     assert metrics.confusion(df).agg(F.sum("rows")).first()[0] == 60
     o = metrics.overall(metrics.confusion(df)).first()
     assert o["accuracy"] == pytest.approx(o["recall_weighted"])
+
+
+def test_quantile_jobs_do_not_grow_with_columns_and_quantiles(spark):
+    from netvigil.operators.quantiles import exact_quantile_table
+
+    df = spark.range(20_000).select(*[((F.col("id") * k) % 7919 / 3 + k).alias(f"c{k}") for k in (3, 5, 7, 11)], F.lit(4.0).alias("flat"))
+    tracker, used = spark.sparkContext.statusTracker(), []
+    for columns, qs in ((["c3"], [0.5]), (["c3", "c5", "c7", "c11", "flat"], [0.1, 0.5, 0.99])):
+        group = f"quantiles-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = exact_quantile_table(df, columns, qs, exact_rows=500)
+        used.append(len(tracker.getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        want = df.agg(*[F.percentile(c, qs).alias(c) for c in columns]).first()
+        assert all(got[c] == pytest.approx(want[c]) for c in columns)
+    assert used[1] <= used[0] + 8, used
