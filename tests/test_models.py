@@ -60,7 +60,9 @@ def test_attacks_change_neither_scaler_nor_threshold(spark):
         assert windows.count() == 296
         assert fitted.scoring_windows(table, "capture_id", "flow_id").count() == table.count() - 4
         fits.append((fitted, reconstruction.fit_linear_reconstruction(windows, 2).threshold))
-    assert fits[0][0] == fits[1][0] and fits[0][0].logged == ["x"]
+    one, two = fits[0][0], fits[1][0]
+    assert one.logged == two.logged == ["x"]
+    assert one.scaler.mean == pytest.approx(two.scaler.mean) and one.scaler.std == pytest.approx(two.scaler.std)
     assert fits[0][1] == pytest.approx(fits[1][1])
 
 
