@@ -97,14 +97,13 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def aligned_names(frames: list[DataFrame]) -> list[str]:
-    """Sorted union of feature names; spellings equal after normalization collapse
-    to one, preferring the one with spaces."""
-    chosen: dict[str, str] = {}
-    for name in sorted({c for df in frames for c in feature_columns(df)}):
-        key = name.lower().replace(" ", "_").replace("-", "_")
-        if key not in chosen or (" " in name and " " not in chosen[key]):
-            chosen[key] = name
-    return sorted(chosen.values())
+    """Sorted union of feature names. Names that differ in case, blanks and dashes only are one feature, called by
+    its first spelling with a blank, or by its first spelling."""
+    spellings: dict[str, list[str]] = {}
+    for df in frames:
+        for name in feature_columns(df):
+            spellings.setdefault(name.lower().translate(str.maketrans(" -", "__")), []).append(name)
+    return sorted(min(names, key=lambda n: (" " not in n, n)) for names in spellings.values())
 
 
 def align(frames: list[DataFrame]) -> list[DataFrame]:

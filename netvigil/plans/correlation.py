@@ -132,8 +132,9 @@ def a24(spark, d):
 
 # --- rules ----------------------------------------------------------------------------------------
 
+# The rule set's patterns, stated again for the SQL side.
 _RE = {
-    100120: "(dos|ddos|hulk|slowloris|goldeneye)", 100121: "(portscan|port_scan|scan)", 100122: "(brute|patator)",
+    100120: "(dos|ddos|hulk|slowloris|goldeneye)", 100121: "(portscan|port_scan|scan)", 100122: "(brute|patator|ssh-patator|ftp-patator)",
     100123: "(web|sql|xss|injection|rfi|lfi)", 100124: "(botnet|bot|c2|command_control)",
     100125: "(infiltration|infiltrate|exfil)",
 }

@@ -79,6 +79,7 @@ def webhook_payloads(unique: DataFrame, now: Column) -> DataFrame:
 
 
 def email_messages(unique: DataFrame, now: Column) -> DataFrame:
+    # Subject and body texts.
     level = level_name(F.col("threat_level"))
     subject = F.concat(F.lit("["), level, F.lit("] NIDS Alert: "), F.col("attack_type"))
     body = F.concat(
