@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,7 @@ class Seeds:
             keys = self._keys(item, width)
             self.table += [(int(keys[k]), i, int(k)) for k in np.flatnonzero(rare)]
         self.keys = np.unique(np.array([row[0] for row in self.table], np.int64))
+        self.widths = sorted({min(SEED_WORDS, len(item)) for item in items} - {0})
 
     def _keys(self, words: np.ndarray, width: int) -> np.ndarray:
         key = np.zeros(len(words) - width + 1, np.int64)
@@ -105,11 +107,15 @@ class Seeds:
         """Places in a list of words where a seed stands, in order, and the seeds' keys."""
         doc = np.array([self.word.get(w, -1) for w in found], np.int64)
         ats, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for width in range(1, min(SEED_WORDS, len(doc)) + 1):
-            known = np.lib.stride_tricks.sliding_window_view(doc >= 0, width).all(axis=1)
+        for width in self.widths:
+            if len(doc) < width:
+                break
+            known = doc[:len(doc) - width + 1] >= 0
+            for k in range(1, width):
+                known &= doc[k:k + len(known)] >= 0
             at = np.flatnonzero(known)
             key = self._keys(doc, width)[at]
-            hit = np.isin(key, self.keys)
+            hit = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
             ats.append(at[hit])
             keys.append(key[hit])
         at, key = np.concatenate(ats), np.concatenate(keys)
@@ -126,15 +132,13 @@ def _word_counts(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        held: Counter = Counter()
         total = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
                 total += len(found)
-                for w in found:
-                    if w in sent.value:
-                        held[w] = held.get(w, 0) + 1
+                held.update(filter(sent.value.__contains__, found))
         yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), total], pa.int64())],
                                          names=["word", "n"])
 
