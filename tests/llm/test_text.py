@@ -189,7 +189,7 @@ def test_copies_are_found(spark):
     benchmark = spark.createDataFrame([(3, " ".join(item), "z"), (4, None, "z"), (5, "", "z"), (6, "ok", "z")], "item_id long, text string, doc_id string")
     rows = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(frame(spark, texts), benchmark).collect()}
     assert set(rows) == {(0, 3), (1, 3), (5, 3)}
-    assert rows[0, 3]["score"] == 1.0 and (rows[0, 3]["first_word"], rows[0, 3]["end_word"]) == (330, 350)
+    assert rows[0, 3]["score"] == 1.0 and (rows[0, 3]["first_word"], rows[0, 3]["end_word"]) == (330, 351)
     assert 0.8 < rows[1, 3]["score"] < 1
     kept = decontaminate.drop_contaminated(frame(spark, texts), benchmark)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 6]
