@@ -39,8 +39,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Subword ids of each document, with the digest of what they decode to."""
-    definition = word_bpe()
-    return bpe.digests(bpe.encode(docs, definition), definition, with_ids=True)
+    return bpe.encode_digests(docs, word_bpe(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import whole_text
+from netvigil.llm.common import parts, whole_text
 
 TABLE_WORDS = 1 << 17
 LONGEST_WORD = 64
-FLUSH = 1_000_000
+FLUSH = 200_000
 
 _loaded: dict[int, object] = {}
 
@@ -72,10 +72,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(text.split())
-                if len(held) > FLUSH:
-                    yield flush()
+            for part in parts(batch):
+                for text in part.column(0).to_pylist():
+                    held.update(text.split())
+                    if len(held) > FLUSH:
+                        yield flush()
         if held:
             yield flush()
 
@@ -95,22 +96,29 @@ def word_table(docs: DataFrame, definition: str, size: int = TABLE_WORDS) -> Dat
     return top.select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "word binary, ids array<int>")
 
 
-def encode(docs: DataFrame, definition: str, size: int = TABLE_WORDS) -> DataFrame:
-    """doc_id and ids of every row."""
+def _encoded(docs: DataFrame, definition: str, size: int, schema: str, last) -> DataFrame:
+    """Encode every row; ``last`` turns a row's ids into the output columns behind doc_id."""
     table = {bytes(r["word"]): list(r["ids"]) for r in word_table(docs, definition, size).toLocalIterator()}  # at most ``size`` rows
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                words = [text.split() for text in part.column(1).to_pylist()]
-                rare = list(set(chain.from_iterable(words)).difference(sent.value))
-                get = {**sent.value, **dict(zip(rare, encode_words(definition, rare), strict=True))}.__getitem__
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([list(chain.from_iterable(map(get, row))) for row in words], pa.list_(pa.int32()))],
-                    ["doc_id", "ids"])
+        for part in (p for batch in batches for p in parts(batch, 500)):
+            words = [text.split() for text in part.column(1).to_pylist()]
+            rare = list(set(chain.from_iterable(words)).difference(sent.value))
+            get = {**sent.value, **dict(zip(rare, encode_words(definition, rare), strict=True))}.__getitem__
+            yield _batch(part.column(0), [last(list(chain.from_iterable(map(get, row)))) for row in words], schema)
+
+    return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _batch(ids: pa.Array, rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.list_(pa.int32())) if isinstance(c[0], list) else pa.array(c) for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, *columns], [p.strip().split(" ")[0] for p in schema.split(",")])
+
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+def encode(docs: DataFrame, definition: str, size: int = TABLE_WORDS) -> DataFrame:
+    """doc_id and ids of every row."""
+    return _encoded(docs, definition, size, "doc_id long, ids array<int>", lambda ids: (ids,))
 
 
 def piece_table(definition: str) -> list[str]:
@@ -124,30 +132,28 @@ def decode_ids(pieces: list[str], ids: list[int]) -> str:
     return " ".join(map(pieces.__getitem__, ids))
 
 
-def _decoded(encoded: DataFrame, definition: str, schema: str, last) -> DataFrame:
-    pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(definition))
+def decode(encoded: DataFrame, definition: str) -> DataFrame:
+    """doc_id and text of every row of (doc_id, ids)."""
+    pieces, schema = encoded.sparkSession.sparkContext.broadcast(piece_table(definition)), "doc_id long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [last(pieces.value, ids) for ids in batch.column(1).to_pylist()]
-            columns = [pa.array(c, pa.list_(pa.int32())) if isinstance(c[0], list) else pa.array(c) for c in zip(*rows, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [p.strip().split(" ")[0] for p in schema.split(",")])
+        for part in (p for batch in batches for p in parts(batch)):
+            yield _batch(part.column(0), [(decode_ids(pieces.value, ids),) for ids in part.column(1).to_pylist()], schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, definition: str) -> DataFrame:
-    """doc_id and text of every row of (doc_id, ids)."""
-    return _decoded(encoded, definition, "doc_id long, text string", lambda pieces, ids: (decode_ids(pieces, ids),))
+def encode_digests(docs: DataFrame, definition: str, size: int = TABLE_WORDS, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the ids (decimal, separated by blanks) and of the text they decode to; ids on demand.
 
+    Both directions run in one pass, so the ids of a text need not leave their task.
+    """
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(definition))
 
-def digests(encoded: DataFrame, definition: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (decimal, separated by blanks) and of the decoded text; ids on demand."""
-    def last(pieces: list[str], ids: list[int]) -> tuple:
+    def last(ids: list[int]) -> tuple:
         numbers = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        told = len(ids), numbers, hashlib.sha256(decode_ids(pieces, ids).encode()).hexdigest()
+        told = len(ids), numbers, hashlib.sha256(decode_ids(pieces.value, ids).encode()).hexdigest()
         return (*told, ids) if with_ids else told
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _decoded(encoded, definition, schema + ", ids array<int>" if with_ids else schema, last)
+    return _encoded(docs, definition, size, schema + ", ids array<int>" if with_ids else schema, last)

@@ -40,6 +40,12 @@ def bounded_labels(labels: DataFrame, label: str, keep: Column, bound: int) -> D
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batch in short slices, where a row becomes many Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list] | None]) -> DataFrame:
     """Run ``fn`` on each Arrow batch as columns of Python values."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]

@@ -70,8 +70,7 @@ def word_bpe() -> str:
 
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    definition = word_bpe()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
 _ESCAPED = r"""regexp_replace({0}, '([\[<])(\\*)(/?(?:INST|SYS|ROLE|TURN)\]|/?s>)', '\1\\\2\3', 'g')"""

@@ -40,12 +40,12 @@ def test_ids_equal_the_library(spark, definition, size):
     assert got == want
     texts = {r["doc_id"]: r["text"] for r in bpe.decode(encoded, definition).collect()}
     assert texts == {i: made.decode(ids, skip_special_tokens=False) for i, ids in want.items()}
-    told = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["ids"]) for r in bpe.digests(encoded, definition, with_ids=True).collect()}
+    told = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["ids"]) for r in bpe.encode_digests(frame(spark, TEXTS), definition, size, with_ids=True).collect()}
     assert told == {i: (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), x) for i, x in want.items()}
 
 
 def test_encoding_no_rows(spark, definition):
-    assert bpe.digests(bpe.encode(frame(spark, []), definition), definition).count() == 0
+    assert bpe.encode_digests(frame(spark, []), definition).count() == 0
 
 
 # Chat
