@@ -253,6 +253,50 @@ def g201(spark, d):
     return rules.integrated(_static_hits(spark, d)).select("det_seq", "rule_id")
 
 
+# The same over all hits of the rule set: those that look back in time as well.
+def _by_rule(value) -> str:
+    return "case rule_id " + " ".join(f"when {r.id} then {value(r.id)}" for r in rules.RULES if r.matched) + " end"
+
+
+ALL_HITS = f"""{STATIC} union all select det_seq, src_ip, ts, rule_id, {_by_rule(_LEVEL.get)} as level, {_by_rule(_desc)} as description
+  from ({history_sql('uniq', 1)}) join uniq using (det_seq)"""
+
+
+def _all_hits(spark, d):
+    return rules.evaluate(a.unique_detections(spark, d, *RULE_INPUT))
+
+
+@query("g1xx_winners_all_rules", sql(f"""select det_seq, rule_id, level, description from (select *, row_number() over (
+  partition by det_seq order by level desc, rule_id) as rn from ({ALL_HITS})) where rn = 1""", "uniq"))
+def g1xx_winners_all(spark, d):
+    return rules.winners(_all_hits(spark, d))
+
+
+@query("f07_rule_search_all_rules", sql(f"""
+  select det_seq, rule_id, 'group' as search from ({ALL_HITS}) where rule_id in (100103, 100104, 100120, 100123, 100130, 100131, 100132)
+  union all select det_seq, rule_id, 'chain' from ({ALL_HITS}) where rule_id in (100141, 100142, 100143)
+  union all select det_seq, rule_id, 'id' from ({ALL_HITS}) where rule_id = 100104
+  union all select det_seq, rule_id, 'id or layer' from ({ALL_HITS}) join uniq using (det_seq) where rule_id = 100126 or layer = 'xgboost'""",
+  "uniq"))
+def f07_all(spark, d):
+    flagged = rules.with_history_flags(rules.with_static_flags(a.unique_detections(spark, d, *RULE_INPUT)))
+    h = rules.hits(flagged, keep=("det_seq", "layer"))
+    group = rules.in_group(h, "attack").withColumn("search", F.lit("group"))
+    chain = rules.in_group(h, "attack_chain").withColumn("search", F.lit("chain"))
+    by_id = h.filter("rule_id = 100104").withColumn("search", F.lit("id"))
+    either = h.filter((F.col("rule_id") == 100126) | (F.col("layer") == "xgboost")).withColumn("search", F.lit("id or layer"))
+    return group.union(chain).union(by_id).union(either).select("det_seq", "rule_id", "search")
+
+
+@query("g200_active_response_all_rules", sql(f"""
+  select det_seq, rule_id, case when rule_id in (100150, 100151, 100122) then 'local' else 'all' end as location, timeout,
+    ts + to_seconds(timeout) as expires_at
+  from (select *, case when rule_id = 100120 then 7200 when rule_id = 100122 then 1800 when rule_id in (100141, 100142) then 14400
+      else 3600 end as timeout from ({ALL_HITS}) where rule_id in (100150, 100151, 100120, 100122, 100141, 100142))""", "uniq"))
+def g200_all(spark, d):
+    return rules.active_responses(_all_hits(spark, d)).select("det_seq", "rule_id", "location", "timeout", "expires_at")
+
+
 # --- responses ------------------------------------------------------------------------------------
 
 ALL_ACTIONS = ("log", "alert", "block", "webhook", "email", "siem")
