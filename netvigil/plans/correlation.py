@@ -76,17 +76,32 @@ CYCLE_EXTRA = f"""rel(k, t) as (values {REL}),
     left join related q on q.attack_type = d.attack_type and q.grp = r.grp)"""
 
 
-@query("j01_correlate_cycles", sql("""
+CYCLE_SQL = """
   select cycle, src_ip, attack_type, rule_id, ctype as correlation_type, det_seq, event_id from (
     select *, row_number() over (partition by cycle, src_ip, attack_type, rule_id order by det_seq, ts, event_id) as rn
-    from pairs where ctype is not null) where rn = 1""", "kept", "alerts", extra=CYCLE_EXTRA))
-def j01_cycles(spark, d):
-    det = a.kept_detections(spark, d).filter("layer = 'suricata'")
+    from pairs where ctype is not null) where rn = 1"""
+
+
+def _correlated_by_cycle(spark, d, det):
     det, al = correlate.assign_cycles(det, a.host_alerts(spark, d), interval=3600, lookback=7200)
     return correlate.correlate(det, al, scope=("cycle",)).select(
         "cycle", "src_ip", "attack_type", "rule_id", "correlation_type", "nids.det_seq", "hids.event_id")
 
 
+@query("j01_correlate_cycles", sql(CYCLE_SQL, "kept", "alerts", extra=CYCLE_EXTRA))
+def j01_cycles(spark, d):
+    return _correlated_by_cycle(spark, d, a.kept_detections(spark, d).filter("layer = 'suricata'"))
+
+
+# The same over the detections of all layers.
+ALL_CYCLE_EXTRA = CYCLE_EXTRA.replace(" from kept where layer = 'suricata'", " from kept")
+
+
+@query("j01_correlate_cycles_all_layers", sql(CYCLE_SQL, "kept", "alerts", extra=ALL_CYCLE_EXTRA))
+def j01_cycles_all(spark, d):
+    return _correlated_by_cycle(spark, d, a.kept_detections(spark, d))
+
+
 @query("j02_attack_group", sql(f"""
   select distinct d.attack_type, x.grp as term from (select distinct attack_type from kept) d, (select distinct grp from alerts) x, rel
   where contains(lower(d.attack_type), k) and contains(x.grp, t)""", "kept", "alerts", extra=f"rel(k, t) as (values {REL})"))

@@ -14,3 +14,9 @@ def test_history_hits_win_and_are_found(spark):
     won = QUERIES["g1xx_winners_all_rules"](spark, SF_DIR).where("rule_id between 100140 and 100143")
     found = QUERIES["f07_rule_search_all_rules"](spark, SF_DIR).where("search = 'chain'")
     assert won.count() > 0 and found.count() > 0
+
+
+def test_streams_hold_all_layers(spark):
+    """A scan followed by an attack is seen by the flow layers only."""
+    small = SF_DIR.replace("0.01", "0.001")
+    assert QUERIES["r05_r06_rule_stream_all_layers"](spark, small).where("rule_id = 100143").count() > 0
