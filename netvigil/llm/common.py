@@ -30,6 +30,28 @@ def fold(parts: int, key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def row_key() -> list[Column]:
+    """id_key, text_key: names a row by its id (null included) and its text; rows equal in both share the name."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_key"), F.xxhash64(whole_text()).alias("text_key")]
+
+
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` that have a partner in ``keys``: distinct keys with ``n``, the number of rows each of them may meet.
+
+    Keys with a share of 1 / HOT_KEYS or more of all of ``n`` are HOT_KEYS at most, whatever the input, so they are
+    broadcast. None of the others is hot, so they are joined by a shuffle. ``keys`` should be a written table.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)")).first()[0]
+    hot = F.col("n").cast("decimal(38,0)") * HOT_KEYS >= F.lit(total)
+    few = F.broadcast(keys.where(hot).drop("n").withColumn("hot", F.lit(True)))
+    marked = rows.join(few, on, "left")
+    rest = marked.where(F.col("hot").isNull()).drop("hot").join(keys.where(~hot).drop("n"), on)
+    return marked.where("hot").drop("hot").unionByName(rest)
+
+
 def bounded_labels(labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
     """At most ``bound`` labelled ids, picked by a hash of the id; ids labelled twice keep the larger label.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.llm import bpe, chat, decontaminate, outliers, pii, quality, repeats, sharding, simhash, toxicity
+from netvigil.llm import bpe, chat, decontaminate, linededup, outliers, pii, quality, repeats, sharding, simhash, toxicity
 from netvigil.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,27 @@ def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_STRIPPED = " || ".join(f"chr({code})" for code in (32, 9, 10, 11, 12, 13))
+
+ORACLES["op12_linededup"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+    SELECT row_no, i, lines[i] AS line,
+           translate(trim(lines[i], {_STRIPPED}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM docs, unnest(range(1, len(lines) + 1)) t(i)),
+common AS (SELECT key AS found FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row_no) >= 10),
+parts AS (
+    SELECT row_no, count(*) AS n_lines, count(found) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (found IS NULL), '')) AS kept_sha256
+    FROM lines LEFT JOIN common ON key = found GROUP BY row_no)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM docs JOIN parts USING (row_no)
+"""
