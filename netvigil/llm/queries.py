@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.llm import bpe, chat, decontaminate, linededup, outliers, pii, quality, repeats, sharding, simhash, toxicity
+from netvigil.llm import bpe, chat, decontaminate, linededup, outliers, pii, quality, repeats, runs, sharding, simhash, toxicity
 from netvigil.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ parts AS (
     FROM lines LEFT JOIN common ON key = found GROUP BY row_no)
 SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM docs JOIN parts USING (row_no)
 """
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted)
+    lines = F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n")))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
