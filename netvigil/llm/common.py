@@ -46,10 +46,10 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)")).first()[0]
     hot = F.col("n").cast("decimal(38,0)") * HOT_KEYS >= F.lit(total)
-    few = F.broadcast(keys.where(hot).drop("n").withColumn("hot", F.lit(True)))
-    marked = rows.join(few, on, "left")
-    rest = marked.where(F.col("hot").isNull()).drop("hot").join(keys.where(~hot).drop("n"), on)
-    return marked.where("hot").drop("hot").unionByName(rest)
+    few = keys.where(hot).drop("n")
+    met = rows.join(F.broadcast(few), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keys.where(~hot).drop("n"), on)
+    return met.unionByName(rest)
 
 
 def bounded_labels(labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.llm import bpe, chat, decontaminate, linededup, outliers, pii, quality, repeats, runs, sharding, simhash, toxicity
+from netvigil.llm import bpe, chat, decontaminate, linededup, outliers, pii, quality, repair, repeats, runs, sharding, simhash, toxicity
 from netvigil.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,15 +101,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The checksum table follows from the polynomial 0xEDB88320, eight shifts for each byte.
-ORACLES["op7_sharding"] = """
-WITH RECURSIVE steps(i, k, v) AS (
+_CRC_TABLE = """steps(i, k, v) AS (
     SELECT i, 0, i::bigint FROM range(256) t(i) UNION ALL
     SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
-bytes AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+bytes AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc32_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint),
+                           lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295)"""
+
+
+ORACLES["op7_sharding"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
 sized AS (
     SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-           xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint),
-                           lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295) AS text_crc32,
+           {_crc32_sql("coalesce(text, '')")} AS text_crc32,
            coalesce('=' || source, 'null') AS stratum, md5('42:' || coalesce(doc_id::varchar, '')) AS draw
     FROM documents, bytes),
 ranked AS (
@@ -171,3 +178,95 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform("runs", lambda r: F.concat(F.array_join(r.cast("array<string>"), ","), F.lit("\n")))
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    audits, repaired = repair.repair(repair.damaged(rows))
+    every, shas = rows.select(F.col("conv_id").cast("long")).distinct(), repair.digests(repaired)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(audits, every["conv_id"].eqNullSafe(audits["conv_id"]), "left").join(
+        shas, every["conv_id"].eqNullSafe(shas["conv_id"]), "left").select(
+        every["conv_id"], *[F.coalesce(audits[c], F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_BLANK_CHARS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _cells(cells: dict[str, list[str]]) -> str:
+    """Each cell is the least of its options as (cost, audit), cost first, then the audit in ASCII order."""
+    return ", ".join(f"list_min([{', '.join(options)}]) AS {name}" for name, options in cells.items())
+
+
+def _moved(cell: str, cost: str, letter: str) -> str:
+    return f"{{'cost': {cell}.cost + {cost}, 'audit': {cell}.audit || '{letter}'}}"
+
+
+def _only(condition: str, option: str) -> str:
+    return f"CASE WHEN {condition} THEN {option} ELSE {{'cost': 1000000000000, 'audit': ''}} END"
+
+
+_FAR = "{'cost': 1000000000000, 'audit': ''}"
+# k0 nothing yet, k1 after system, k2 after user, k3 after assistant; r2 and r3 after rows put in
+
+
+def _put_in(source: str) -> str:
+    two = _cells({"r2": ["k2", *(_moved(k, "5", "I") for k in ("k0", "k1", "k3"))]})
+    return f"SELECT *, {_cells({'r3': ['k3', _moved('r2', '5', 'I')]})} FROM (SELECT *, {two} FROM {source})"
+
+
+ORACLES["op11_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS name FROM conversations),
+faulty AS (SELECT *, {_crc32_sql("name")} % 20 AS fault FROM raw, bytes),
+kept AS (
+    SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM faulty, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) c(copy) WHERE fault <> 0),
+placed AS (
+    SELECT *, coalesce('=' || conv_id, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+           rtrim(text, {_BLANK_CHARS}) AS solid FROM kept),
+flagged AS (
+    SELECT *, length(solid) = 0 AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS repeated,
+           right(solid, 1) NOT IN ('.', '!', '?') AS open, substr(role, 1, 1) AS x,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+judged AS (SELECT *, blank OR repeated AS doomed, CASE WHEN open AND NOT blank AND NOT repeated THEN 5 ELSE 0 END AS w FROM flagged),
+dp AS (
+    SELECT DISTINCT c, 0::bigint AS i, {{'cost': 0::bigint, 'audit': ''}} AS k0, {_FAR} AS k1, {_FAR} AS k2, {_FAR} AS k3 FROM judged
+    UNION ALL
+    SELECT c, j_i, {_cells({
+        "n0": [_moved("k0", "2", "D")],
+        "n1": [_moved("k1", "2", "D"), _only("NOT doomed AND x = 's'", _moved("k0", "w", "K"))],
+        "n2": [_moved("r2", "2", "D"), *(_only("NOT doomed AND x = 'u'", _moved(k, "w", "K")) for k in ("k0", "k1", "r3")),
+               *(_only("NOT doomed", _moved(k, "w + 1", "R")) for k in ("k0", "k1", "r3"))],
+        "n3": [_moved("r3", "2", "D"), _only("NOT doomed AND x = 'a'", _moved("r2", "w", "K")),
+               _only("NOT doomed", _moved("r2", "w + 1", "R"))]})}
+    FROM ({_put_in("(SELECT dp.*, j.i AS j_i, x, doomed, w FROM dp JOIN judged j ON j.c = dp.c AND j.i = dp.i + 1)")})),
+ended AS (
+    SELECT c, list_min([k0, r3]) AS best FROM ({_put_in("(SELECT * FROM dp WHERE (c, i) IN (SELECT c, max(i) FROM judged GROUP BY c))")})),
+letters AS (
+    SELECT c, e, best.audit[e] AS letter FROM ended, unnest(range(1, length(best.audit) + 1)) t(e)),
+counted AS (
+    SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS place
+    FROM letters WINDOW w AS (PARTITION BY c ORDER BY e)),
+left_in AS (
+    SELECT n.*, j.role, j.text, max(CASE WHEN place = 1 AND letter = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.c) AS led
+    FROM counted n LEFT JOIN judged j ON j.c = n.c AND j.i = n.i AND letter <> 'I' WHERE letter <> 'D'),
+repaired AS (
+    SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                         || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS told
+    FROM left_in GROUP BY c),
+counts AS (
+    SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (repeated AND NOT blank) AS duplicate, count(*) FILTER (w > 0) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::bigint AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS c FROM conversations)
+LEFT JOIN counts USING (c) LEFT JOIN ended USING (c) LEFT JOIN repaired USING (c)
+"""
