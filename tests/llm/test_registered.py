@@ -17,12 +17,12 @@ def test_matches_oracle(spark, name):
     assert got == want
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_one_query_per_operator(number):
     assert sum(name.startswith(f"op{number}_") for name in QUERIES) == 1
 
 
-@pytest.mark.parametrize("name", ["op6_chat", "op9_outliers"])
+@pytest.mark.parametrize("name", ["op6_chat", "op9_outliers", "op12_linededup"])
 def test_native_plans(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
