@@ -31,7 +31,10 @@ STRIPPED = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(STRIPPED)), string.ascii_uppercase, string.ascii_lowercase)
+    """Trimming at the right end and lowering by a table cost a pass over all characters each; most lines need neither."""
+    cut = F.ltrim(F.when(F.substring(line, -1, 1).isin(*STRIPPED), F.rtrim(line, F.lit(STRIPPED))).otherwise(line), F.lit(STRIPPED))
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(plain, F.lower(cut)).otherwise(F.translate(cut, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def _hashed(key: Column, min_chars: int) -> Column:
@@ -39,10 +42,15 @@ def _hashed(key: Column, min_chars: int) -> Column:
     return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
 
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h, g, n: the hashes of keys found in ``min_docs`` rows of ``docs`` (column text) or more, and in how many."""
-    own = F.array_distinct(F.transform(F.split(whole_text(), "\n", -1), lambda x: _hashed(line_key(x), min_chars)))
-    once = docs.select(F.explode(own).alias("key")).where(F.col("key").isNotNull())
+def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """id_key, text_key and ``keys``, the hashes of each line's key by position, of every row of ``docs``."""
+    lines = F.split(whole_text(), "\n", -1)
+    return docs.select(*row_key(), F.transform(lines, lambda x: _hashed(line_key(x), min_chars)).alias("keys"))
+
+
+def common_keys(hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """h, g, n: the keys found in ``min_docs`` rows or more, and in how many."""
+    once = hashed.select(F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key").isNotNull())
     return once.groupBy(F.col("key.h").alias("h"), F.col("key.g").alias("g")).agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= min_docs)
 
@@ -50,10 +58,10 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, kept (the text without its common lines), n_lines, n_dropped of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    common = materialize(common_lines(rows, min_docs, min_chars), "lines")
-    lines = rows.select(*row_key(), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    marked = lines.select("id_key", "text_key", "at", _hashed(line_key(F.col("line")), min_chars).alias("key")).where(
-        F.col("key").isNotNull()).select("id_key", "text_key", "at", "key.*")
+    hashed = materialize(hashed_lines(rows, min_chars), "hashed")
+    common = materialize(common_keys(hashed, min_docs), "common")
+    marked = hashed.select("id_key", "text_key", F.posexplode("keys").alias("at", "key")).where(F.col("key").isNotNull()).select(
+        "id_key", "text_key", "at", "key.*")
     gone = join_counted(marked, common, ["h", "g"]).groupBy("id_key", "text_key").agg(F.collect_set("at").alias("gone"))
     keyed = rows.select("doc_id", "text", *row_key())
     lines = F.split("text", "\n", -1)
