@@ -55,14 +55,18 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "f
     )
 
 
+UNTIMED_SLICES = 4096
+
+
 def with_time_slices(df: DataFrame, ts: str, slice_seconds: int, overlap_seconds: int) -> DataFrame:
     """Add (time_slice, is_copy): each row in its slice, and again in the next one
-    when it lies within the overlap before that slice starts."""
+    when it lies within the overlap before that slice starts. Rows without a time are spread over slices before all others."""
     if overlap_seconds > slice_seconds:
         raise ValueError("overlap must not exceed the slice")
     width, overlap = slice_seconds * 1_000_000, overlap_seconds * 1_000_000
     micros = epoch_micros(F.col(ts))
-    own = F.floor(micros / F.lit(width)).cast("long")
+    apart = F.lit(-(1 << 40)) - F.pmod(F.xxhash64(*df.columns), F.lit(UNTIMED_SLICES))
+    own = F.coalesce(F.floor(micros / F.lit(width)).cast("long"), apart)
     near_end = F.pmod(micros, F.lit(width)) >= width - overlap
     homes = F.array(
         F.struct(own.alias("time_slice"), F.lit(False).alias("is_copy")),

@@ -58,3 +58,14 @@ def run_available(
     writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the engine dropped behind the watermark, over the progress reports the query still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows held in all state stores after the last batch."""
+    reports = query.recentProgress
+    return sum(op["numRowsTotal"] for op in reports[-1]["stateOperators"]) if reports else 0

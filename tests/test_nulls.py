@@ -52,3 +52,14 @@ def test_whitelist_of_all_kinds(spark, monkeypatch):
     inline = sorted(map(str, detect.drop_whitelisted(flows, exact).collect()))
     monkeypatch.setattr(detect, "INLINE_ENTRIES", 0)
     assert sorted(map(str, detect.drop_whitelisted(flows, exact).collect())) == inline and len(inline) == 2
+
+
+def test_detections_without_a_time_keep_their_hits(spark):
+    """Rules that look at one event see them; no rule that looks back in time counts them."""
+    from netvigil.operators import rules
+
+    schema = ("det_seq string, src_ip string, dst_ip string, dst_port int, attack_type string, confidence double, layer string, "
+              "threat_level int, anomaly_score double, ts timestamp_ntz")
+    rows = spark.createDataFrame([(f"{i}", "10.0.0.1", "10.0.0.2", 22, "DOS", 0.97, "suricata", 4, None, None) for i in range(9)], schema)
+    alone = rules.hits(rules.with_static_flags(rows)).groupBy("rule_id").count().collect()
+    assert sorted(rules.evaluate(rows).groupBy("rule_id").count().collect()) == sorted(alone) and len(alone) > 3
