@@ -65,17 +65,56 @@ def test_labels_outside_the_fold_change_nothing(spark):
     assert one == two
 
 
-def test_kneser_ney_leans(spark):
-    """A word of one class leans to it, an unseen word takes its stem's side, a strange one none."""
-    rows = [("you scoundrels go", 1), ("scoundrels and fools", 1), ("a scoundrels here", 1), ("the day is fine", 0), ("the sun is here", 0), ("the day goes on", 0)]
-    labelled = spark.createDataFrame(rows * 4, "text string, label int")
-    model = toxicity.fit_counts(labelled, labelled)
-    assert model.word_ratio[model.ids["scoundrels"]] > 0.3 and model.word_ratio[model.ids["the"]] < -0.3
-    assert toxicity.ratios(model, "scoundrelism")[2] > 0.3
-    assert toxicity.ratios(model, "zebra") == (0.0, 0.0, 0.0) == toxicity.ratios(model, "")
-    whole, passage, word = toxicity.ratios(model, "the " * 40 + "scoundrels scoundrels " + "the " * 40)
-    assert whole < passage < word
-    assert toxicity.levels("abcdefgh") == ["abcdefgh", "abcdefg*", "abcde*"] and toxicity.levels("abc") == ["abc"]
+def brute_letter_ratios(rows, corpus, left_out=None):
+    """The class models' letter ratios from plain counts: rows (label, fold, text)."""
+    import math
+
+    def beginnings(word):
+        path = word + "$" if len(word) <= 8 else word[:8]
+        return [path[:i] for i in range(1, len(path) + 1)]
+
+    counts = [Counter(), Counter()]
+    nodes = {b for _, _, t in rows for w in toxicity.tokens(t) for b in beginnings(w)}
+    for label, fold_, text in rows:
+        if fold_ != left_out:
+            counts[label].update(b for w in set(toxicity.tokens(text)) for b in beginnings(w))
+    shared = Counter(b for w in {w for t in corpus for w in toxicity.tokens(t)} for b in ["", *beginnings(w)])
+    cut = lambda n: (0, 0.95, 1.6, 2.0)[min(n, 3)]
+    out = {}
+    for node in nodes:
+        lower = (shared[node] + 0.5) / (shared[node[:-1]] + 15)
+        p = []
+        for c in counts:
+            below = [c[x] for x in nodes if x[:-1] == node[:-1]]
+            p.append((c[node] - cut(c[node]) + sum(map(cut, below)) * lower) / sum(below) if sum(below) else lower)
+        out[node] = math.log(p[1] / p[0])
+    return out
+
+
+def test_toxicity_counts_are_brute_force(spark):
+    rows = [(1, 0, "You scoundrel, you rat"), (1, 1, "scoundrels! rat Rat"), (1, 2, "a scoundrelly thing"), (0, 0, "a scout and a thing"),
+            (0, 1, "the rate of things"), (0, 2, "été naïve_x 12 scoundrel")]
+    labelled = spark.createDataFrame(rows, "label int, fold int, text string")
+    texts = [t for _, _, t in rows] + ["scoundrelism rates", "zebra zebra", ""]
+    corpus = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["node"]: r["ratio"] for r in toxicity.letter_ratios(toxicity.class_counts(labelled), toxicity.shared_counts(corpus)).collect()}
+    for column, left_out in enumerate([None, 0, 1, 2]):
+        want = brute_letter_ratios(rows, texts, left_out)
+        assert {n: r[column] for n, r in got.items()} == pytest.approx(want, abs=1e-9)
+    model = toxicity.fit(labelled, corpus)
+    words = ["scoundrel", "scoundrelism", "zebra", "rat", "x" * 500, "scou"]
+    whole = brute_letter_ratios(rows, texts)
+    sums = {n: sum(whole[n[:i]] for i in range(1, len(n) + 1)) for n in whole}
+    want = [sums.get(next((p[:i] for p in [toxicity.spelled(w)] for i in range(9, 0, -1) if p[:i] in sums), ""), 0.0) for w in words]
+    assert toxicity.word_ratios(model, words).tolist() == pytest.approx(want, abs=1e-5)
+    assert want[0] > 1 and want[2] == 0.0
+
+
+def test_toxicity_reads_passages_and_words():
+    x = np.array([0.0] * 40 + [4.0, 4.0] + [0.0] * 40)
+    assert toxicity.ratios(x, np.array([0.0, 4.0])) == (0.5, 2.0)
+    assert toxicity.ratios(x[:0], x[:0]) == (0.0, 0.0)
+    assert toxicity.ratios(x[38:44], np.array([4.0])) == pytest.approx((8 / 6, 4.0))
 
 
 def test_tree_rules():
