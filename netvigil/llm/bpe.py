@@ -104,8 +104,10 @@ def _encoded(docs: DataFrame, definition: str, size: int, schema: str, last) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in parts(batch, 500)):
             words = [text.split() for text in part.column(1).to_pylist()]
-            rare = list(set(chain.from_iterable(words)).difference(sent.value))
-            get = {**sent.value, **dict(zip(rare, encode_words(definition, rare), strict=True))}.__getitem__
+            distinct = set(chain.from_iterable(words))
+            known = {w: sent.value[w] for w in distinct if w in sent.value}
+            rare = list(distinct.difference(known))
+            get = {**known, **dict(zip(rare, encode_words(definition, rare), strict=True))}.__getitem__
             yield _batch(part.column(0), [last(list(chain.from_iterable(map(get, row)))) for row in words], schema)
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")).mapInArrow(run, schema)

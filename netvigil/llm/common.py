@@ -35,6 +35,11 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id_key"), F.xxhash64(whole_text()).alias("text_key")]
 
 
+def row_name() -> Column:
+    """``row_key`` as one number, for filters that must tell rows apart under null or repeated ids."""
+    return F.xxhash64(*row_key())
+
+
 HOT_KEYS = 10_000
 
 
@@ -77,7 +82,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             if got is None or not len(got[names[0]]):
                 continue

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import whole_text
+from netvigil.llm.common import parts, row_name, whole_text
 from netvigil.session import materialize
 
 SEED_WORDS = 3
@@ -134,7 +134,7 @@ def _word_counts(docs: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         total = 0
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
                 total += len(found)
@@ -170,7 +170,7 @@ def _passages(source: DataFrame, seeds: Seeds) -> DataFrame:
     types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = tokens(text)
@@ -193,7 +193,7 @@ def _passages(source: DataFrame, seeds: Seeds) -> DataFrame:
 def _aligned(pairs: DataFrame, min_score: float) -> DataFrame:
     """Align each pair's stretch of the passage with its item; keep scores of ``min_score`` or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             out = []
             for r in batch.to_pylist():
                 item, words = r["item_words"].split(" "), r["words"].split(" ")
@@ -239,6 +239,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose id has no match; rows without an id all stay, as no match can name them."""
-    hits = materialize(matches(docs, benchmark, min_score).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti")
+    """The rows that hold no match. Rows are told apart by id and text, so one without an id goes like any other."""
+    marked = docs.withColumn("_row", row_name())
+    hits = materialize(matches(marked.select(F.col("_row").alias("doc_id"), "text"), benchmark, min_score).select(
+        F.col("doc_id").alias("_row")).distinct(), "hits")
+    return marked.join(hits, "_row", "left_anti").drop("_row")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import map_batches, whole_text
+from netvigil.llm.common import map_batches, row_name, whole_text
 from netvigil.llm.components import components
 from netvigil.session import materialize
 
@@ -49,10 +49,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
-    source = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
-    return map_batches(source, "doc_id long, fp long", lambda b: {
-        "doc_id": b["doc_id"], "fp": [fingerprint(t) for t in b["text"]]})
+    """doc_id, its row's name and its fingerprint as a signed long."""
+    source = docs.select(F.col("doc_id").cast("long"), row_name().alias("row_name"), whole_text().cast("binary").alias("text"))
+    return map_batches(source, "doc_id long, row_name long, fp long", lambda b: {
+        "doc_id": b["doc_id"], "row_name": b["row_name"], "fp": [fingerprint(t) for t in b["text"]]})
 
 
 def _variants(fp: Column) -> Column:
@@ -94,24 +94,32 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pair.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row."""
-    marked = materialize(fingerprints(docs), "prints")
+def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
+    """fp, first_id and root of every distinct fingerprint: the root names its component."""
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     roots = components(links(prints, max_bits))
-    named = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+    return prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+    marked = materialize(fingerprints(docs), "prints")
+    named = _classes(marked, max_bits)
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     class_of = materialize(named.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(class_of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group, that of its smallest id, with all columns of ``docs``.
+def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group with all columns of ``docs``: that of the smallest id (null last), then of the least hash of id and text.
 
-    Rows repeated under that id keep one. Rows without an id cannot be named by a group and all stay.
+    Different texts under one id are judged apart; of rows equal in id and text one stays at most.
     """
-    head = groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    chosen = docs.where(F.col("doc_id").isNotNull()).join(head, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    marked = materialize(fingerprints(docs), "prints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_name")
+    heads = marked.groupBy("fp").agg(F.min(order).alias("head"))
+    least = heads.join(_classes(marked, max_bits).select("fp", "root"), "fp").groupBy("root").agg(F.min("head").alias("head"))
+    chosen = materialize(least.select(F.col("head.row_name").alias("_row")), "heads")
+    return docs.withColumn("_row", row_name()).join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -88,10 +88,12 @@ def test_groups_without_rows_and_ids(spark):
 
 
 def test_keep_first(spark):
-    docs = frame(spark, ["a b c", "a b c", "d", "a b c", "e", "e"], [3, 2, 9, 2, None, None])
+    """One row a group, also of rows that share an id or have none; different texts under one id are judged apart."""
+    docs = frame(spark, ["a b c", "a b c", "d", "a b c", "e", "e", "f", "a b c"], [3, 2, 9, 2, None, None, 9, None])
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("2", "a b c"), ("9", "d"), ("None", "e"), ("None", "e")]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("2", "a b c"), ("9", "d"), ("9", "f"), ("None", "e")]
+    assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
 # Long repeats

@@ -58,3 +58,23 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         for _, stage in pipeline.STAGES:
             docs = pipeline.materialize(stage(spark, docs, str(tmp_path)))
         assert docs.count() <= rows.count()
+
+
+def test_filters_tell_rows_apart(spark, tmp_path):
+    """A clean row stays beside a toxic or contaminated one of its id; a bad one goes without an id too."""
+    import corpus_pipeline as pipeline
+
+    item = "seven copper kettles hang above the narrow stove while nobody counts the evening trains " * 3
+    bad = "you worthless scum and idiot clown " * 4
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"{bad} {i}" if i < 30 else f"the river is calm today and boats {i} go by", "en", "s", 1) for i in range(60)]
+    rows += [(100, "the river is calm", "en", "s", 1), (100, bad, "en", "s", 1), (None, bad + " x", "en", "s", 1), (None, "boats go by", "en", "s", 1),
+             (200, item, "en", "s", 1), (200, "a calm day", "en", "s", 1), (None, "note: " + item, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, int(i < 30), 1) for i in range(60)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(pipeline.STAGES)
+    left = {(r["doc_id"], r["text"]) for r in stages["toxicity"](spark, docs, str(tmp_path)).collect()}
+    assert (100, "the river is calm") in left and (None, "boats go by") in left and not any("scum" in t for _, t in left)
+    left = {(r["doc_id"], r["text"]) for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()}
+    assert (200, "a calm day") in left and len(left) == len(rows) - 2 and not any("kettles" in t for _, t in left)
