@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.llm import bpe, decontaminate, pii, simhash, toxicity
-from netvigil.llm.common import fold, table
+from netvigil.llm.common import fold, row_name, table
 from netvigil.llm.queries import word_bpe
 from netvigil.session import materialize
 
@@ -16,10 +16,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go; rows that share an id go together, rows without one stay."""
-    scores = toxicity.score(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
-    rejected = materialize(scores.where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct(), "toxic")
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents scored toxic go. Rows are told apart by id and text, so one without an id goes like any other."""
+    scores = toxicity.score(docs, table(spark, sf_dir, "labels"), fold(4) != 2, named=True)
+    rejected = materialize(scores.where(F.col("score") >= toxicity.THRESHOLD).select(F.col("row_name").alias("_row")).distinct(), "toxic")
+    return docs.withColumn("_row", row_name()).join(rejected, "_row", "left_anti").drop("_row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
