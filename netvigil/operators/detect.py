@@ -15,7 +15,7 @@ from netvigil.sources.whitelist import expand_cidr, ip_number, network_number
 
 SIGNATURE_CONFIDENCE = 0.95
 # Arrival order of the layers; det_seq is "<ordinal>-<row key>".
-LAYER_ORDINAL = {"suricata": 1, "xgboost": 2, "vae": 3, "isolation_forest": 3}
+LAYER_ORDINAL = {"suricata": 1, "xgboost": 2, "vae": 3, "isolation_forest": 4}
 
 
 def _seq(layer: str, key: Column) -> Column:
@@ -65,9 +65,9 @@ def classifier_hit(normalize_names: bool = False) -> Column:
     )
 
 
-def error_hit(threshold: float) -> Column:
+def error_hit(threshold: float, score: str = "score") -> Column:
     """Hit struct of a flow whose reconstruction error exceeds the threshold."""
-    limit, score = F.lit(float(threshold)), F.col("score")
+    limit, score = F.lit(float(threshold)), F.col(score)
     return F.when(
         score > limit,
         _hit("vae", F.lit("VAE_ANOMALY"), levels.error_confidence(score, limit),
@@ -79,9 +79,9 @@ def isolation_predicate(score: Column, outlier: Column, threshold: float) -> Col
     return outlier | (score < threshold)
 
 
-def isolation_hit(threshold: float = -0.5) -> Column:
+def isolation_hit(threshold: float = -0.5, score: str = "score") -> Column:
     """Hit struct of a flow the isolation forest calls an outlier."""
-    score = F.col("score")
+    score = F.col(score)
     return F.when(
         isolation_predicate(score, F.col("outlier"), threshold),
         _hit("isolation_forest", F.lit("ANOMALY"), levels.isolation_confidence(score),
