@@ -66,7 +66,7 @@ def test_labels_outside_the_fold_change_nothing(spark):
 
 
 def brute_letter_ratios(rows, corpus, left_out=None):
-    """The class models' letter ratios from plain counts: rows (label, fold, text)."""
+    """The class models' letter ratios from plain counts: rows (label, apart, text)."""
     import math
 
     def beginnings(word):
@@ -75,8 +75,8 @@ def brute_letter_ratios(rows, corpus, left_out=None):
 
     counts = [Counter(), Counter()]
     nodes = {b for _, _, t in rows for w in toxicity.tokens(t) for b in beginnings(w)}
-    for label, fold_, text in rows:
-        if fold_ != left_out:
+    for label, apart, text in rows:
+        if apart != left_out:
             counts[label].update(b for w in set(toxicity.tokens(text)) for b in beginnings(w))
     shared = Counter(b for w in {w for t in corpus for w in toxicity.tokens(t)} for b in ["", *beginnings(w)])
     cut = lambda n: (0, 0.95, 1.6, 2.0)[min(n, 3)]
@@ -92,16 +92,16 @@ def brute_letter_ratios(rows, corpus, left_out=None):
 
 
 def test_toxicity_counts_are_brute_force(spark):
-    rows = [(1, 0, "You scoundrel, you rat"), (1, 1, "scoundrels! rat Rat"), (1, 2, "a scoundrelly thing"), (0, 0, "a scout and a thing"),
-            (0, 1, "the rate of things"), (0, 2, "été naïve_x 12 scoundrel")]
-    labelled = spark.createDataFrame(rows, "label int, fold int, text string")
+    rows = [(1, True, "You scoundrel, you rat"), (1, False, "scoundrels! rat Rat"), (1, False, "a scoundrelly thing"), (0, True, "a scout and a thing"),
+            (0, False, "the rate of things"), (0, False, "été naïve_x 12 scoundrel")]
+    labelled = spark.createDataFrame(rows, "label int, apart boolean, text string")
     texts = [t for _, _, t in rows] + ["scoundrelism rates", "zebra zebra", ""]
     corpus = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = {r["node"]: r["ratio"] for r in toxicity.letter_ratios(toxicity.class_counts(labelled), toxicity.shared_counts(corpus)).collect()}
-    for column, left_out in enumerate([None, 0, 1, 2]):
+    got = toxicity.letter_ratios(toxicity.class_counts(labelled), toxicity.shared_counts(corpus)).collect()
+    for column, left_out in (("whole", None), ("partly", True)):
         want = brute_letter_ratios(rows, texts, left_out)
-        assert {n: r[column] for n, r in got.items()} == pytest.approx(want, abs=1e-9)
-    model = toxicity.fit(labelled, corpus)
+        assert {r["node"]: r[column] for r in got} == pytest.approx(want, abs=1e-9)
+    model = toxicity.model_of(toxicity.word_beginnings(labelled, corpus))
     words = ["scoundrel", "scoundrelism", "zebra", "rat", "x" * 500, "scou"]
     whole = brute_letter_ratios(rows, texts)
     sums = {n: sum(whole[n[:i]] for i in range(1, len(n) + 1)) for n in whole}
