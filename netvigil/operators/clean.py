@@ -96,23 +96,39 @@ def feature_columns(df: DataFrame) -> list[str]:
     ]
 
 
+def _spelling(name: str) -> str:
+    """What spellings of one feature share: they differ in case, blanks and dashes only."""
+    return name.lower().translate(str.maketrans(" -", "__"))
+
+
+def _named(spellings: list[str]) -> str:
+    """The first spelling with a blank, or the first."""
+    return min(spellings, key=lambda n: (" " not in n, n))
+
+
 def aligned_names(frames: list[DataFrame]) -> list[str]:
-    """Sorted union of feature names. Names that differ in case, blanks and dashes only are one feature, called by
-    its first spelling with a blank, or by its first spelling."""
+    """Sorted union of feature names; spellings of one feature count as one, called as ``_named`` says."""
     spellings: dict[str, list[str]] = {}
     for df in frames:
         for name in feature_columns(df):
-            spellings.setdefault(name.lower().translate(str.maketrans(" -", "__")), []).append(name)
-    return sorted(min(names, key=lambda n: (" " not in n, n)) for names in spellings.values())
+            spellings.setdefault(_spelling(name), []).append(name)
+    return sorted(map(_named, spellings.values()))
 
 
 def align(frames: list[DataFrame]) -> list[DataFrame]:
-    """Every frame with the same feature columns in the same order; missing ones null."""
+    """Every frame with the same feature columns in the same order; missing ones null.
+
+    A frame gives a feature under whatever spelling it has; of several spellings in one frame the first value that is not
+    null counts, the chosen name's before others.
+    """
     names = aligned_names(frames)
-    return [
-        df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("double").alias(c) for c in names])
-        for df in frames
-    ]
+
+    def feature(df: DataFrame, name: str) -> Column:
+        own = sorted((c for c in feature_columns(df) if _spelling(c) == _spelling(name)), key=lambda c: c != name)
+        values = [F.col(f"`{c}`").cast("double") for c in own] or [F.lit(None).cast("double")]
+        return F.coalesce(*values).alias(name)
+
+    return [df.select(*[feature(df, c) for c in names]) for df in frames]
 
 
 def union_aligned(frames: list[DataFrame]) -> DataFrame:

@@ -78,6 +78,18 @@ def p06(spark, d):
     return clean.union_aligned([one, two])
 
 
+@query("p06_align_spellings", sql("""
+  select flow_duration as "Flow Duration", coalesce(case when dst_port > 22 then tot_fwd_pkts end, active_mean) as "tot fwd-pkts" from flows
+  union all select case when protocol = 'TCP' then flow_duration end, tot_fwd_pkts from flows""", "flows"))
+def p06_spellings(spark, d):
+    """Two sources spell a feature differently, one has it twice; nulls stand in either."""
+    f = a.flows(spark, d)
+    one = f.select(F.col("flow_duration").alias("Flow Duration"), F.when(F.col("dst_port") > 22, F.col("tot_fwd_pkts")).alias("tot fwd-pkts"),
+                   F.col("active_mean").alias("TOT_FWD_PKTS"))
+    two = f.select(F.when(F.col("protocol") == "TCP", F.col("flow_duration")).alias("flow_duration"), F.col("tot_fwd_pkts").alias("Tot_Fwd_Pkts"))
+    return clean.union_aligned([one, two])
+
+
 @query("p07_sparse", dsql(f"select flow_id, label, flow_duration, tot_fwd_pkts, idle_mean, down_up_ratio from dirty"))
 def p07(spark, d):
     return clean.drop_sparse_columns(dirty_flows(spark, d))

@@ -9,6 +9,7 @@ from netvigil.operators import clean, report, sampling
 from netvigil.plans import adapters as a
 from netvigil.plans.oracle import LEVEL_NAME, THR, _host, _server, level_case, sql
 from netvigil.plans.registry import query
+from netvigil.session import scratch_path
 from netvigil.sources import alerts, flows, siem_lines, sinks, whitelist
 
 AS_OF = "2024-01-30 12:00:00"
@@ -178,12 +179,15 @@ def s09(spark, d):
         .otherwise(ip)
     )
     lines = sup.select(F.explode(F.array(line, F.lit("   "))).alias("value"))
-    listed = whitelist.load(spark, None, "'8.8.8.8', \"1.1.1.1\",,")
-    return whitelist.parse_lines(lines).union(listed).distinct()
+    path = scratch_path(spark, "whitelist")
+    lines.write.text(path)
+    return whitelist.load(spark, path, "'8.8.8.8', \"1.1.1.1\",,")
 
 
 def _log(spark, d):
-    return sinks.read_detection_log(sinks.detection_log(a.unique_detections(spark, d), _now()))
+    path = scratch_path(spark, "detection-log")
+    sinks.append_lines(sinks.detection_log(a.unique_detections(spark, d), _now()), path)
+    return sinks.read_detection_log(spark.read.text(path))
 
 
 @query("s10_detection_log", sql(f"""
@@ -261,10 +265,14 @@ def _keyed_lines(u, transport):
 @query("s16_merge_benign", sql("""
   select distinct tot_fwd_pkts, down_up_ratio, active_mean, 'BENIGN' as label from flows""", "flows"))
 def s16(spark, d):
-    f = a.flows(spark, d)
-    one = f.filter("protocol = 'TCP'").select("tot_fwd_pkts", "down_up_ratio", "active_mean")
-    two = f.filter("protocol = 'UDP'").select("active_mean", "tot_fwd_pkts", "down_up_ratio")
-    return clean.merge_benign([one, two])
+    """Two folders of captures as CSV, read, merged, written as CSV and read back."""
+    f, root = a.flows(spark, d), scratch_path(spark, "benign")
+    names = ["tot_fwd_pkts", "down_up_ratio", "active_mean"]
+    sinks.write_csv(f.filter("protocol = 'TCP'").select(*names), f"{root}/one")
+    sinks.write_csv(f.filter("protocol = 'UDP'").select(*reversed(names)), f"{root}/two")
+    captures = [flows.read_flow_files(spark, f"{root}/{n}", numeric=names).select(*names) for n in ("one", "two")]
+    sinks.write_csv(clean.merge_benign(captures), f"{root}/merged")
+    return flows.read_flow_files(spark, f"{root}/merged", numeric=names).select(*names, "label")
 
 
 @query("s17_test_dataset", sql("""
@@ -274,9 +282,11 @@ def s16(spark, d):
       where upper(label) <> 'BENIGN') where k <= 100)""", "flows"))
 def s17(spark, d):
     sample = sampling.per_class_sample(a.flows(spark, d), "flow_id", "label", 100)
-    shuffled = sampling.shuffle_rows(sample, "flow_id")
-    ranked = sampling.seeded_rank(shuffled, "flow_id", [], name="position")
-    return ranked.select("flow_id", "label", "flow_duration", "position")
+    """The sample in its shuffled order, its place in a column, as CSV and read back."""
+    ranked = sampling.seeded_rank(sample, "flow_id", [], name="position").select("flow_id", "label", "flow_duration", "position")
+    path = scratch_path(spark, "test-set")
+    sinks.write_csv(ranked.orderBy("position"), path)
+    return spark.read.option("header", True).schema(ranked.schema).csv(path)
 
 
 @query("p17_endpoints", sql("""

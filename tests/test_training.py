@@ -155,3 +155,13 @@ def test_quantile_jobs_do_not_grow_with_columns_and_quantiles(spark):
         want = df.agg(*[F.percentile(c, qs).alias(c) for c in columns]).first()
         assert all(got[c] == pytest.approx(want[c]) for c in columns)
     assert used[1] <= used[0] + 8, used
+
+
+def test_alignment_keeps_values_under_every_spelling(spark):
+    from netvigil.operators import clean
+
+    one = spark.createDataFrame([(1.0, None)], "`Flow IAT Max` double, flow_iat_max double")
+    two = spark.createDataFrame([(2.0,)], "flow_iat_max double")
+    three = spark.createDataFrame([(None, 3.0, 9.0)], "`Flow IAT Max` double, `flow-iat-max` double, other double")
+    rows = clean.union_aligned([one, two, three]).orderBy("Flow IAT Max").collect()
+    assert [tuple(r) for r in rows] == [(1.0, None), (2.0, None), (3.0, 9.0)]
