@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import isqrt
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.operators.slices import running_sums
@@ -52,35 +50,52 @@ def overall(matrix: DataFrame) -> DataFrame:
     return hits.withColumn("_one", F.lit(1)).join(averages.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
 
 
-def pr_auc(scores: DataFrame) -> DataFrame:
-    """Area under the precision-recall curve per class, one against the rest.
+def _in_ranges(points: DataFrame, *order: Column) -> DataFrame:
+    """Points dealt by ranges of their order, the number of the range in ``_range``; written, since bounds are sampled."""
+    return materialize(points.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
 
-    Input: (class, score, positive). The curve runs over distinct scores,
-    highest first, from (recall 0, precision 1), trapezoid rule. Equal scores
-    combine before any ordering and are written once; running sums work in
-    score buckets whose number grows with the root of the points, so no task
-    orders a whole class.
+def _area(curve: DataFrame) -> DataFrame:
+    """Trapezoids under the points (tp, n, and their running sums ctp, cn), per class.
+
+    The previous point of the curve is this point without its own counts, except that the very first previous point has
+    precision 1 by definition. A point without positives adds no area.
     """
-    points = materialize(scores.groupBy("class", "score").agg(
-        F.sum(F.col("positive").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")), "points")
-    buckets = max(2, isqrt(points.count()))
-    cuts = points.approxQuantile("score", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) > 2:
-        points = Bucketizer(splits=splits, inputCol="score", outputCol="_cut").transform(points)
-    else:
-        points = points.withColumn("_cut", F.lit(0.0))
-    curve = running_sums(points, ["class"], -F.col("_cut"), [F.desc("score")], {"ctp": "tp", "cn": "n"})
-    totals = points.groupBy("class").agg(F.sum("tp").alias("positives"))
-    # The previous point of the curve is this point without its own counts, except
-    # that the very first previous point has precision 1 by definition.
     before_n, before_tp = F.col("cn") - F.col("n"), F.col("ctp") - F.col("tp")
     precision = F.col("ctp") / F.col("cn")
     before_precision = F.coalesce(F.try_divide(before_tp, before_n), F.lit(1.0))
+    totals = curve.groupBy("class").agg(F.sum("tp").alias("positives"))
     area = _ratio(F.col("tp"), F.col("positives")) * (precision + before_precision) / 2
     return curve.join(totals, "class").groupBy("class").agg(F.sum(area).alias("pr_auc"))
 
 
+def pr_auc(scores: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve per class, one against the rest.
+
+    Input: (class, score, positive). The curve runs over distinct scores, highest first, from (recall 0, precision 1),
+    trapezoid rule. Equal scores combine before any ordering. The points are dealt by ranges of class and score; running
+    sums take the totals of the ranges before, so no task orders a whole class and the driver sees none of the scores.
+    """
+    points = materialize(scores.groupBy("class", "score").agg(
+        F.sum(F.col("positive").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n")), "points")
+    placed = _in_ranges(points, F.col("class"), F.desc("score"))
+    return _area(materialize(running_sums(placed, ["class"], F.col("_range"), [F.desc("score")], {"ctp": "tp", "cn": "n"}), "curve"))
+
+
+def pr_auc_by_label(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """``pr_auc`` of every label's rows against all others under one score, without copying the rows to each class.
+
+    All curves run over the same scores, so the counts of all rows are summed once; a class's own points are those scores
+    at which it has rows, as no other point adds area.
+    """
+    counted = materialize(scores.groupBy(F.col(label).alias("class"), F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("tp")), "points")
+    every = _in_ranges(counted.groupBy("score").agg(F.sum("tp").alias("n")), F.desc("score"))
+    together = running_sums(every, [], F.col("_range"), [F.desc("score")], {"cn": "n"}).select("score", "n", "cn")
+    own = _in_ranges(counted.where(F.col("class").isNotNull()), F.col("class"), F.desc("score"))
+    curve = running_sums(own, ["class"], F.col("_range"), [F.desc("score")], {"ctp": "tp"}).select("class", "score", "tp", "ctp")
+    return _area(materialize(curve.join(together, "score"), "curve"))
+
+
 def with_macro(per_class: DataFrame, name: str = "macro") -> DataFrame:
     """The classes' areas and, as one more row, their mean."""
     return per_class.unionByName(per_class.agg(F.lit(name).alias("class"), F.avg("pr_auc").alias("pr_auc")))

@@ -182,10 +182,8 @@ AUC = """pts as (select c.class, s.score, sum(case when s.label = c.class then 1
 def a20(spark, d):
     f = a.flows(spark, d)
     score = F.when(F.col("label") == "DDoS", F.col("flow_duration") / 1000 + 10).otherwise(F.col("flow_duration") / 1000)
-    names = [r["label"] for r in f.select("label").distinct().collect()]  # classes
-    named = F.explode(F.array(*[F.lit(c) for c in sorted(names)])).alias("class")
-    s = f.select("label", score.alias("score"), named).withColumn("positive", F.col("label") == F.col("class"))
-    return metrics.with_macro(metrics.pr_auc(s)).select("class", F.round("pr_auc", 6).alias("pr_auc"))
+    areas = metrics.pr_auc_by_label(f.select("label", score.alias("score")))
+    return metrics.with_macro(areas).select("class", F.round("pr_auc", 6).alias("pr_auc"))
 
 
 @query("a21_best_model", sql("""

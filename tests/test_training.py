@@ -165,3 +165,17 @@ def test_alignment_keeps_values_under_every_spelling(spark):
     three = spark.createDataFrame([(None, 3.0, 9.0)], "`Flow IAT Max` double, `flow-iat-max` double, other double")
     rows = clean.union_aligned([one, two, three]).orderBy("Flow IAT Max").collect()
     assert [tuple(r) for r in rows] == [(1.0, None), (2.0, None), (3.0, 9.0)]
+
+
+def test_areas_by_label_are_the_one_against_rest_areas(spark):
+    """One pass over the scores gives what a copy of all rows to each class gives; ties and rare classes included."""
+    from netvigil.operators import metrics
+
+    rng = np.random.default_rng(8)
+    rows = [("abc"[int(k)], float(s)) for k, s in zip(rng.choice(3, 900, p=[0.6, 0.39, 0.01]), rng.integers(0, 60, 900) / 7, strict=True)]
+    df = spark.createDataFrame([*rows, (None, 3.0)], "label string, score double")
+    copied = df.select("score", F.explode(F.array(*map(F.lit, "abc"))).alias("class"), "label").withColumn(
+        "positive", F.coalesce(F.col("label") == F.col("class"), F.lit(False)))
+    want = {r["class"]: r["pr_auc"] for r in metrics.pr_auc(copied).collect()}
+    got = {r["class"]: r["pr_auc"] for r in metrics.pr_auc_by_label(df).collect()}
+    assert got == pytest.approx(want) and set(got) == set("abc")
