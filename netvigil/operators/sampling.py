@@ -3,18 +3,22 @@
 A row's place in a seeded shuffle is the order of md5(seed-id). The place is
 found from bucket counts over the leading hex digits, which are spread evenly,
 so ranking a class needs no task larger than one bucket of that class, and rows
-in buckets wholly inside or outside a cut are decided without any shuffle.
+in buckets wholly inside or outside a cut are decided without any shuffle. Buckets are as narrow as the largest class asks
+for; their counts are taken once and written.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.operators.slices import join_null_safe
-from netvigil.session import bounded_broadcast
+from netvigil.session import bounded_broadcast, materialize
 
-BUCKET_DIGITS = 3  # 4096 buckets per class
+BUCKET_DIGITS = 3      # 4096 buckets per class, or more:
+BUCKET_ROWS = 250_000  # beyond this size of the largest bucket, further digits split it
 
 
 def seeded_hash(row_id: Column, seed: int = 42) -> Column:
@@ -29,8 +33,7 @@ def seeded_rank(
     df: DataFrame, row_id: str, by: list[str], seed: int = 42, name: str = "seed_rank", digits: int = BUCKET_DIGITS
 ) -> DataFrame:
     """1-based rank of every row in the seeded order of its class, and the class size."""
-    rows = _with_hash(df, row_id, seed).withColumn("_bucket", F.substring("_hash", 1, digits))
-    offsets = _bucket_offsets(rows, by)
+    rows, offsets = _in_buckets(_with_hash(df, row_id, seed), by, digits)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", row_id)
     ranked = rows.withColumn("_in", F.row_number().over(inside))
     return (
@@ -41,6 +44,19 @@ def seeded_rank(
     )
 
 
+def _in_buckets(hashed: DataFrame, by: list[str], digits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_bucket``, and the written offsets of the buckets. The hash is even, so digits enough for the largest
+    bucket bound all; rows that repeat one id cannot be told apart and stay in one."""
+    rows = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
+    offsets = materialize(_bucket_offsets(rows, by), "buckets")
+    largest = offsets.agg(F.max("_rows")).first()[0] or 0
+    more = ceil(log(largest / BUCKET_ROWS, 16)) if largest > BUCKET_ROWS else 0
+    if more:
+        rows = hashed.withColumn("_bucket", F.substring("_hash", 1, digits + more))
+        offsets = materialize(_bucket_offsets(rows, by), "buckets")
+    return rows, offsets
+
+
 def _bucket_offsets(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows before each bucket of a class, and the class total (classes x buckets rows)."""
     counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
@@ -61,8 +77,8 @@ def first_in_seeded_order(
     cap is ranked; every other row is kept or dropped by its bucket alone.
     """
     cap = F.lit(cap) if isinstance(cap, int) else cap
-    rows = _with_hash(df, row_id, seed).withColumn("_bucket", F.substring("_hash", 1, digits))
-    cuts = _bucket_offsets(rows, by).withColumn("_cap", cap).filter(F.col("_before") < F.col("_cap"))
+    rows, offsets = _in_buckets(_with_hash(df, row_id, seed), by, digits)
+    cuts = offsets.withColumn("_cap", cap).filter(F.col("_before") < F.col("_cap"))
     cuts = cuts.select(
         *by, "_bucket", "_before", "_cap", (F.col("_before") + F.col("_rows") <= F.col("_cap")).alias("_whole")
     )

@@ -179,3 +179,17 @@ def test_areas_by_label_are_the_one_against_rest_areas(spark):
     want = {r["class"]: r["pr_auc"] for r in metrics.pr_auc(copied).collect()}
     got = {r["class"]: r["pr_auc"] for r in metrics.pr_auc_by_label(df).collect()}
     assert got == pytest.approx(want) and set(got) == set("abc")
+
+
+@pytest.mark.parametrize("size", [2_000, 16_000])
+def test_buckets_follow_the_class_size(spark, monkeypatch, size):
+    """The largest bucket keeps its bound at either size, and the ranks do not depend on the width."""
+    df = spark.range(size).select("id", F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("label"))
+    wide = sampling.seeded_rank(df, "id", ["label"], digits=1).orderBy("id").collect()
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 40)
+    hashed = sampling._with_hash(df, "id", 42)
+    _, offsets = sampling._in_buckets(hashed, ["label"], 1)
+    assert offsets.agg(F.max("_rows")).first()[0] <= 80
+    assert sampling.seeded_rank(df, "id", ["label"], digits=1).orderBy("id").collect() == wide
+    cut = sampling.first_in_seeded_order(df, "id", ["label"], 50, digits=1)
+    assert sorted(r["id"] for r in cut.collect()) == sorted(r["id"] for r in wide if r["seed_rank"] <= 50)
