@@ -368,10 +368,10 @@ def block_input(spark, d):
 
 @query("w06_block_cooldown", sql("select * from blocks", "alerts", recursive=True, extra=BLOCK_CTES))
 def w06(spark, d):
-    return respond.block_events(block_input(spark, d), DAY, cells=8)
+    return respond.block_events(block_input(spark, d), DAY)
 
 
 @query("d04_expired", sql(f"select ip, blocked_at from blocks where expires_at <= timestamp '{AS_OF}'", "alerts",
                           recursive=True, extra=BLOCK_CTES))
 def d04(spark, d):
-    return respond.expired_blocks(respond.block_events(block_input(spark, d), DAY, cells=8), AS_OF).select("ip", "blocked_at")
+    return respond.expired_blocks(respond.block_events(block_input(spark, d), DAY), AS_OF).select("ip", "blocked_at")

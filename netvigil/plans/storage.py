@@ -60,7 +60,7 @@ def s11(spark, d):
     reason, '"}}') as value from blocks""", "alerts", recursive=True, extra=BLOCK_CTES))
 def s12(spark, d):
     path = scratch_path(spark, "block-log")
-    sinks.append_lines(sinks.block_log(respond.block_events(block_input(spark, d), DAY, cells=8), DAY), path)
+    sinks.append_lines(sinks.block_log(respond.block_events(block_input(spark, d), DAY), DAY), path)
     return spark.read.text(path)
 
 

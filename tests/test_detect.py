@@ -169,15 +169,41 @@ def greedy(seconds, duration):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 2, 5])
-def test_hot_address_slices_equal_plain_walk(spark, cells):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_address_levels_equal_plain_walk(spark, seed):
     import random
 
-    rng = random.Random(cells)
-    seconds = [rng.randrange(0, 20000) for _ in range(400)] + [30000 + 7 * i for i in range(500)]
+    rng = random.Random(seed)
+    seconds = [rng.randrange(0, 20000) for _ in range(400)] + [30000 + 7 * i for i in range(500)] + [10**6, 10**6 + 299]
     want = greedy(seconds, 300)
-    assert block_times(spark, seconds, cells=cells, hot_events=10) == want
-    assert block_times(spark, seconds, cells=cells, hot_events=10_000) == want
+    assert block_times(spark, seconds, hot_events=10) == want
+    assert block_times(spark, seconds, hot_events=10_000) == want
+
+
+def test_hot_addresses_of_one_duration_and_beside_cold_ones(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    times = {"dense": range(0, 250), "sparse": range(0, 40_000, 301), "cold": [5, 400], "two": [*range(100, 140), *range(390, 430)]}
+    rows = [(ip, base + dt.timedelta(seconds=s), "r") for ip, ss in times.items() for s in ss] + [(None, base, "r"), ("x", None, "r")]
+    got = respond.block_events(
+        spark.createDataFrame(rows, "ip string, ts timestamp, reason string"), 300, hot_events=10).collect()
+    for ip, seconds in times.items():
+        assert sorted(int((r["blocked_at"] - base).total_seconds()) for r in got if r["ip"] == ip) == greedy(seconds, 300)
+    assert {r["ip"] for r in got} == set(times)
+
+
+def test_a_million_events_of_one_address_in_a_day(spark):
+    """The whole day equals the plain walk, and no operator groups by the address."""
+    n, step = 1_000_000, 86_400
+    events = spark.range(n).selectExpr(
+        "'hot' as ip", f"timestamp_micros(1704067200000000 + id * {step} + pmod(xxhash64(id), 80000)) as ts", "'r' as reason")
+    blocks = respond.block_events(events, 300)
+    got = sorted(r[0] for r in blocks.select(F.unix_micros("blocked_at")).collect())
+    times = sorted({r[0] for r in events.select(F.unix_micros("ts")).collect()})
+    assert got == greedy(times, 300 * 1_000_000)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
 
 
 def test_expired_blocks(spark):
