@@ -66,6 +66,19 @@ def test_attacks_change_neither_scaler_nor_threshold(spark):
     assert fits[0][1] == pytest.approx(fits[1][1])
 
 
+def test_nearest_in_class_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = {c: rng.integers(0, 5, (n, 2)).astype(float) for c, n in ((1, 40), (2, 7), (3, 2))}
+    df = spark.createDataFrame([(c, i + 1, x.tolist()) for c, xs in points.items() for i, x in enumerate(xs)], "label int, pos long, v array<double>")
+    for block_rows in (5, 1000):
+        got = {(r["label"], r["pos"]): r["near"] for r in oversample.nearest_in_class(df, "v", "label", 3, block_rows).collect()}
+        assert len(got) == 49
+        for c, xs in points.items():
+            for i, x in enumerate(xs):
+                order = sorted((float(((y - x) ** 2).sum()), j + 1) for j, y in enumerate(xs) if j != i)
+                assert got[c, i + 1] == [j for _, j in order[:3]]
+
+
 def test_oversample_reaches_target_inside_class(spark):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=3) + (10 if i % 5 else 0)).tolist(), 0 if i % 5 else 1) for i in range(400)]
