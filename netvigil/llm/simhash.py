@@ -82,13 +82,17 @@ def _first_slot(diff: Column) -> Column:
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """All pairs of distinct fingerprints (column fp) that differ in at most ``max_bits`` (4 at most) bits."""
+    """All pairs of distinct fingerprints (column fp) that differ in at most ``max_bits`` (4 at most) bits.
+
+    The join is a sort-merge whatever the sizes: the planner takes the 64 variants of a fingerprint for one row, and would
+    send the whole index through the driver while the fingerprints alone are below its broadcast limit.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("three segments cover at most four differing bits")
     index = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("x")).select("fp", "x.slot", "x.key")
     a, b = index.alias("a"), index.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    pair = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key"))
+    pair = a.join(b.hint("merge"), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key"))
                   & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(diff) <= max_bits)
                   & (_first_slot(diff) == F.col("a.slot")))
     return pair.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
@@ -98,7 +102,7 @@ def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
     """fp, first_id and root of every distinct fingerprint: the root names its component."""
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     roots = components(links(prints, max_bits))
-    return prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+    return prints.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
@@ -108,7 +112,7 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     named = _classes(marked, max_bits)
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     class_of = materialize(named.join(ids, "root").select("fp", "component_id"), "classes")
-    return marked.join(class_of, "fp").select(
+    return marked.join(class_of.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -75,6 +75,12 @@ def test_links_at_the_edges(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 5)
 
 
+def test_links_index_is_never_broadcast(spark):
+    """64 variants a fingerprint: a table below the broadcast limit has an index far above it."""
+    plan = simhash.links(spark.range(2000).selectExpr("xxhash64(id) as fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (7, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
