@@ -65,6 +65,20 @@ def test_labels_outside_the_fold_change_nothing(spark):
     assert one == two
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """No bound of the labelled rows and none of the beginnings: what is not sent to the tasks is joined, with equal scores."""
+    assert not hasattr(toxicity, "MAX_LABELS")
+    monkeypatch.setattr("netvigil.llm.common.bounded_labels", None)
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    whole, few, none = (sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score(docs, labels, fold(4) != 2, size=size).collect())
+                        for size in (1 << 30, 300, 0))
+    assert len(whole) == docs.count()
+    assert [d for d, _ in few] == [d for d, _ in none] == [d for d, _ in whole]
+    assert [s for _, s in few] == pytest.approx([s for _, s in whole], abs=1e-12)
+    assert [s for _, s in none] == pytest.approx([s for _, s in whole], abs=1e-12)
+
+
 def brute_letter_ratios(rows, corpus, left_out=None):
     """The class models' letter ratios from plain counts: rows (label, apart, text)."""
     import math
