@@ -101,3 +101,36 @@ def test_classifiers_beat_chance_and_score(spark, data):
     for model in trained.models.values():
         got = classifiers.score(model, train, ["benign", "odd"]).select("label", "confidence").distinct().collect()
         assert {r["label"] for r in got} == {"BENIGN", "ODD"} and all(0.5 <= r["confidence"] <= 1.0 for r in got)
+
+
+def test_isolation_scores_are_those_of_a_plain_walk():
+    """All rows of a slice step together; a leaf keeps its rows, whatever they hold."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2 * isolation.SLICE + 5, 4))
+    x[0, 1], x[1, 2], x[2, 0] = np.nan, np.inf, -np.inf
+    grown = [isolation._grow(rng.normal(size=(n, 4)), np.random.default_rng(n)) for n in (1, 2, 60, 256)]
+    trees = [{k: np.array(v, np.int64 if k in ("feature", "left", "right") else float) for k, v in t.items()} for t in grown]
+
+    def walked(row):
+        total = 0.0
+        for t in trees:
+            at = 0
+            while t["feature"][at] >= 0:
+                at = t["left" if row[t["feature"][at]] <= t["cut"][at] else "right"][at]
+            total += t["depth"][at]
+        return total
+
+    assert isolation._depths(x, [isolation._walkable(t) for t in trees]).tolist() == [walked(row) for row in x]
+
+
+def test_thresholds_read_written_scores(data, monkeypatch):
+    """The quantile passes over the scores several times; the detector runs once."""
+    plans = []
+    for module in (isolation, reconstruction):
+        real = module.exact_quantiles
+        monkeypatch.setattr(module, "exact_quantiles", lambda df, *how, real=real: (
+            plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *how))[1])
+    benign = data.filter("attack = 0")
+    isolation.fit_isolation_forest(benign, "row_id", trees=4)
+    reconstruction.fit_linear_reconstruction(benign, 2)
+    assert len(plans) == 2 and not any("Arrow" in p or "UDF" in p for p in plans)
