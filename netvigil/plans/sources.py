@@ -249,17 +249,12 @@ def s15(spark, d):
   union all select det_seq, null, null, null, null, null, null, null, null, null, null, null, body from ({SIEM_SQL})""",
   "uniq"))
 def p22(spark, d):
-    u = a.unique_detections(spark, d)
     # One spelling with a blank after the colon (as the emitter writes it) and one without.
-    spaced = F.regexp_replace(F.col("value"), '":', '": ')
-    api = _keyed_lines(u, "api").withColumn("value", F.when(F.col("layer") == "vae", spaced).otherwise(F.col("value")))
-    both = api.drop("layer").union(_keyed_lines(u, "socket").drop("layer"))
-    noise = u.select("det_seq", F.lit("sshd: unrelated line").alias("value"))
-    return siem_lines.decode(both.union(noise), keep=("det_seq",))
-
-
-def _keyed_lines(u, transport):
-    return u.select("det_seq", "layer", sinks.siem_event(_now(), transport).alias("value"))
+    event = sinks.siem_event(_now(), "api")
+    api = F.when(F.col("layer") == "vae", F.regexp_replace(event, '":', '": ')).otherwise(event)
+    # all lines of a detection from one pass over the detections
+    lines = F.array(api, sinks.siem_event(_now(), "socket"), F.lit("sshd: unrelated line"))
+    return siem_lines.decode(a.unique_detections(spark, d).select("det_seq", F.explode(lines).alias("value")), keep=("det_seq",))
 
 
 @query("s16_merge_benign", sql("""
