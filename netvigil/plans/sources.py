@@ -204,7 +204,7 @@ def a27(spark, d):
 
 @query("t07_last10", sql("""select ts, attack_type, src_ip from uniq order by ts desc, det_seq desc limit 10""", "uniq"))
 def t07(spark, d):
-    return report.newest(a.unique_detections(spark, d), 10, tie="det_seq").select("ts", "attack_type", "src_ip")
+    return report.newest(a.unique_detections(spark, d, "ts"), 10, tie="det_seq").select("ts", "attack_type", "src_ip")
 
 
 SIEM_SQL = f"""
