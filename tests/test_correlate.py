@@ -81,3 +81,18 @@ def test_row_numbers_are_dense_under_a_dominant_key(spark):
         want[(k, o)] = want.get("n" + k, 0) + 1
         want["n" + k] = want[(k, o)]
     assert all(want[(r["k"], r["o"])] == r["flow_seq"] for r in got) and len(got) == len(rows)
+
+
+def test_related_alerts_are_sent_to_the_detections(spark):
+    """Few alerts by cycle, attack and rule do not make detections move a third time, whatever the planner's own limit."""
+    dets = spark.createDataFrame([("2-1", "10.0.0.1", "10.0.0.2", "PORTSCAN", 2, 0.5, BASE)], DET)
+    alerts = spark.createDataFrame([(BASE, 1, "R", 5, "d", "10.0.0.9", "10.0.0.8", ["scan"])], ALERT)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = correlate.correlate(dets, alerts)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [(r["rule_id"], r["nids"]["dst_ip"], r["correlation_type"]) for r in found.collect()] == [("R", "10.0.0.2", "attack_pattern")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 2
