@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -14,6 +15,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def written_batch(schema: StructType, path: str, batch_id: int, spark: SparkSession) -> DataFrame:
+    """What ``write_batch`` wrote."""
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netvigil.functions.text import epoch_seconds
 from netvigil.operators import correlate, detect, respond
-from netvigil.streaming.batches import CarriedState, run_available, write_batch
+from netvigil.streaming.batches import CarriedState, run_available, write_batch, written_batch
 
 
 @dataclass(frozen=True)
@@ -35,15 +35,13 @@ def detection_loop(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        raw = to_raw(batch).persist()
-        kept = detect.drop_whitelisted(raw, whitelist)
-        unique = detect.dedup(kept).persist()
-        write_batch(unique, f"{config.out}/detections", batch_id)
+        raw = to_raw(batch)
+        write_batch(detect.dedup(detect.drop_whitelisted(raw, whitelist)), f"{config.out}/detections", batch_id)
+        # the written rows are read again, narrow; the raw ones are only counted, from the columns that tell them
+        unique = written_batch(raw.schema, f"{config.out}/detections", batch_id, batch.sparkSession)
         write_batch(respond.outbox(unique, config.enabled_actions, config.block_threshold)
                     .select("det_seq", "action_order", "action"), f"{config.out}/outbox", batch_id)
         write_batch(detect.cycle_summary(batch, raw, unique), f"{config.out}/summary", batch_id)
-        unique.unpersist()
-        raw.unpersist()
 
     return run_available(flows, each, f"{config.checkpoint}/loop", interval=config.interval)
 

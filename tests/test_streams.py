@@ -1,12 +1,13 @@
 """Streams equal batches whatever the cut: cycles over two batches, late events, closed cycles."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from netvigil.operators import rules
-from netvigil.plans.streams import replay
-from netvigil.streaming import detect_loop, rule_stream
+from netvigil.operators import detect, rules
+from netvigil.plans.streams import Feed, replay, replay_feeds
+from netvigil.streaming import detect_loop, rule_stream, summaries
 from netvigil.streaming.batches import read_updates
 
 T0 = datetime(2024, 1, 1)
@@ -52,3 +53,37 @@ def test_late_events_complete_a_rule(spark):
     assert sorted(stream) == sorted(batch.select("det_seq", "rule_id").collect())
     stateful = {r.id for r in rules.RULES if r.timeframe}
     assert any(r["rule_id"] in stateful for r in stream)
+
+
+def test_replayed_files_move_and_rows_without_a_chunk_come_first(spark):
+    rows = spark.createDataFrame([("a", T0, 1), ("b", T0, None), ("c", T0, 10), ("d", T0, 2)], "k string, ts timestamp, chunk int")
+    seen = []
+    root = replay_feeds(spark, {"x": Feed(rows)}, lambda root: spark.readStream.schema("k string, ts timestamp").parquet(f"{root}/source/x")
+                        .writeStream.foreachBatch(lambda b, _: seen.append([r["k"] for r in b.collect()]))
+                        .option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start())
+    assert seen == [["b"], ["a"], ["d"], ["c"]]
+    staged = [p for p in Path(root.removeprefix("file:")).glob("staged/x/chunk=*/*") if p.name.startswith("part")]
+    assert not staged and spark.read.parquet(f"{root}/source/x").count() == 4
+
+
+def test_the_late_side_is_one_join(spark):
+    landed = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("b", 4)], "k string, n int")
+    late = summaries.late_side(landed, spark.createDataFrame([("b",), ("b",)], "k string"), ["k"])
+    assert sorted(r["n"] for r in late.collect()) == [1, 3]
+    assert "Aggregate" not in late._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_loop_caches_no_rows(spark, monkeypatch):
+    flows = detections(spark, (0, 1), (1, 1), (2, 2)).withColumn("label", F.lit("PortScan"))
+
+    def refuse(self, *_):
+        raise AssertionError("rows of a batch are cached")
+
+    monkeypatch.setattr(type(flows), "persist", refuse)
+    none = spark.createDataFrame([], "ip string")
+    root = replay(flows.drop("batch", "attack_type", "layer", "threat_level", "anomaly_score", "det_seq"), F.lit(1),
+                  lambda s, root: detect_loop.detection_loop(s, lambda b: detect.flow_detections(b, detect.classifier_hit()), none,
+                                                             detect_loop.LoopConfig(f"{root}/out", f"{root}/ckpt")))
+    summary = spark.read.parquet(f"{root}/out/summary").collect()
+    assert [(r["total_flows"], r["unique_attacks"], r["attack_flows"], r["filtered_count"]) for r in summary] == [(3, 1, 3, 0)]
+    assert spark.read.parquet(f"{root}/out/outbox").count() > 0
