@@ -147,3 +147,12 @@ def test_alert_files_are_tailed(spark, tmp_path):
             "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination()
     assert seen == [["1"], ["2"]]
+
+
+def test_state_holds_an_address_pair_once_and_terms_unsalted(spark):
+    """Tokens of a detection and the salted copies of an alert are made of what leaves the first state."""
+    feeds = {"d": Feed(spark.createDataFrame([detection(i, i, "10.0.0.1", "PORTSCAN", 2, 0) for i in range(5)], DET)),
+             "h": Feed(spark.createDataFrame([(at(1), 1, "R", 5, "d", "10.0.9.1", "10.0.0.1", ["scan"], 0)], HOST))}
+    _, queries = run(spark, feeds, lambda root, s: correlation.append_correlations(
+        s["d"], s["h"], f"{root}/out", f"{root}/c", interval=15, lookback=15, detection_lateness=700, alert_lateness=700, salts=8))
+    assert state_rows(queries[0]) == 1 + 3  # the alert by source, agent and term
