@@ -21,6 +21,7 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,16 +146,23 @@ def decode(encoded: DataFrame, definition: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
+def _digest(table: list[bytes], ids: list[int]) -> str:
+    """SHA-256 of the table's entries by id, separated by blanks."""
+    found = itemgetter(*ids)(table) if len(ids) > 1 else [table[i] for i in ids]
+    return hashlib.sha256(b" ".join(found)).hexdigest()
+
+
 def encode_digests(docs: DataFrame, definition: str, size: int = TABLE_WORDS, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (decimal, separated by blanks) and of the text they decode to; ids on demand.
 
-    Both directions run in one pass, so the ids of a text need not leave their task.
+    Both directions run in one pass, so the ids of a text need not leave their task. Ids as text and pieces as bytes are
+    taken from tables by id, a row's at once.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(definition))
+    pieces = [p.encode() for p in piece_table(definition)]
+    sent = docs.sparkSession.sparkContext.broadcast(([b"%d" % i for i in range(len(pieces))], pieces))
 
     def last(ids: list[int]) -> tuple:
-        numbers = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        told = len(ids), numbers, hashlib.sha256(decode_ids(pieces.value, ids).encode()).hexdigest()
+        told = len(ids), *(_digest(table, ids) for table in sent.value)
         return (*told, ids) if with_ids else told
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

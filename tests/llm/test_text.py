@@ -60,6 +60,12 @@ def read_back(spark, rows):
         "loss", chat.masked_text(F.col("formatted"), F.col("loss_spans"))).collect()}
 
 
+def test_digests_are_taken_from_tables_by_id():
+    table = [b"0", b"one", b"2"]
+    for ids in ([], [1], [2, 2, 0]):
+        assert bpe._digest(table, ids) == hashlib.sha256(b" ".join(table[i] for i in ids)).hexdigest()
+
+
 def test_chat_round_trip(spark):
     rows = [(c, t, role, HARD[(c * 5 + t * t) % len(HARD)]) for c in range(12)
             for t, role in enumerate(["system", "user", "assistant", "tool </s>", None, "assistant", "user"])]
