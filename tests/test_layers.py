@@ -72,3 +72,10 @@ def test_fitted_cycle_fires_every_layer_rule(spark):
     assert all(r["actions"] >= r["unique_attacks"] and r["flows"] >= r["unique_attacks"] for r in out)
     kept = detect.drop_whitelisted(detect.signature_detections(a.signature_alerts(spark, SF_DIR)), a.whitelist(spark, SF_DIR))
     assert sum(r["flows"] for r in out if r["layer"] == "suricata") == kept.count()
+
+
+def test_the_classifier_is_fitted_on_every_window(spark):
+    rows = [(f"c{i % 2}", f"{i:06d}", "BENIGN" if i % 3 else "DDoS", float(i % 7), float(i % 3)) for i in range(7_000)]
+    flows = spark.createDataFrame(rows, "capture_id string, flow_id string, label string, x double, y double")
+    pipeline, _ = layers.fit_layers(flows, ["x", "y"], components=2)
+    assert pipeline.stages[1]._call_java("rootNode").impurityStats().rawCount() == 7_000 - 2 * 4
