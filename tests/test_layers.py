@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from netvigil import session
 from netvigil.models import layers
 from netvigil.models.preparation import fit_preparation
 from netvigil.models.stages import WindowScaler
@@ -79,3 +80,11 @@ def test_the_classifier_is_fitted_on_every_window(spark):
     flows = spark.createDataFrame(rows, "capture_id string, flow_id string, label string, x double, y double")
     pipeline, _ = layers.fit_layers(flows, ["x", "y"], components=2)
     assert pipeline.stages[1]._call_java("rootNode").impurityStats().rawCount() == 7_000 - 2 * 4
+
+
+def test_what_is_read_to_fit_is_gone_before_scoring(spark):
+    rows = [("c", f"{i:04d}", "BENIGN" if i % 4 else "DDoS", float(i % 7), float(i % 3)) for i in range(400)]
+    flows = spark.createDataFrame(rows, "capture_id string, flow_id string, label string, x double, y double")
+    before = list(session._created)
+    layers.fit_layers(flows, ["x", "y"], components=2)
+    assert session._created == before

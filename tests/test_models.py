@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from netvigil.models import classifiers, isolation, oversample, reconstruction
-from netvigil.operators import metrics
+from netvigil.models.preparation import fit_preparation
+from netvigil.operators import metrics, slices
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +135,35 @@ def test_thresholds_read_written_scores(data, monkeypatch):
     isolation.fit_isolation_forest(benign, "row_id", trees=4)
     reconstruction.fit_linear_reconstruction(benign, 2)
     assert len(plans) == 2 and not any("Arrow" in p or "UDF" in p for p in plans)
+
+
+def _leaf(tree, row):
+    at = 0
+    while tree["feature"][at] >= 0:
+        at = tree["left" if row[tree["feature"][at]] <= tree["cut"][at] else "right"][at]
+    return tree["depth"][at]
+
+
+def test_values_count_as_places_among_the_cuts(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    grown = [isolation._grow(x[rng.choice(300, n, replace=False)], rng) for n in (1, 2, 9, 64, 256)]
+    trees = [{k: np.array(v, float if k in ("cut", "depth") else np.int64) for k, v in t.items()} for t in grown]
+    rows = np.concatenate([x, [[np.nan] * 4, [np.inf] * 4, [-np.inf] * 4]])
+    monkeypatch.setattr(isolation, "SLICE", 128)
+    placed = isolation._placed([isolation._walkable(t) for t in trees])
+    assert placed[2] is np.uint16 and len(placed[1]) == 5
+    assert isolation._walked(rows, *placed).tolist() == [sum(_leaf(t, r) for t in trees) for r in rows]
+    alone = isolation._placed([isolation._walkable(trees[0])])
+    assert isolation._walked(rows, *alone).tolist() == [_leaf(trees[0], r) for r in rows]
+
+
+def test_numbering_carries_what_windows_read_alone(spark, monkeypatch):
+    rows = [("c", f"{i}", float(i), "x" * 9, i) for i in range(9)]
+    flows = spark.createDataFrame(rows, "capture_id string, flow_id string, x double, src_ip string, dst_port int")
+    seen, number = [], slices.number_rows
+    monkeypatch.setattr(slices, "number_rows", lambda df, *a: seen.append(df.columns) or number(df, *a))
+    fit = fit_preparation(flows, ["x"])
+    for made in (fit.training_windows, fit.scoring_windows):
+        assert made(flows, "capture_id", "flow_id", ("dst_port",)).count() == 5
+    assert seen == [["capture_id", "flow_id", "dst_port", "x"]] * 2
